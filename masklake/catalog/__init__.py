@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["evaluation"]
+MODULES = ["evaluation", "annotations"]
 
 
 def all_cases() -> dict:

@@ -52,6 +52,44 @@ VIEWS = {
                CAST(h AS DOUBLE) AS h,
                CAST(CASE WHEN ann_id % 43 = 0 THEN -1 ELSE w * h END AS DOUBLE) AS area
         FROM {fx_gt}""",
+    "fx_payload": """
+        SELECT sample_index, image_id, split, j, x, y, w, h, original_category_id,
+               CASE WHEN f = 0 THEN CAST(NULL AS STRING) WHEN f = 1 THEN '' WHEN f = 2 THEN ' null '
+                    WHEN f = 3 THEN substr(ann, 1, 12) WHEN f = 4 THEN '{"foo":1}' WHEN f = 5 THEN '{"annotations":3}'
+                    WHEN f = 6 THEN '42'
+                    WHEN f < 10 THEN concat('{"coco_annotations":"', replace(concat('{"annotations":[', ann, ']}'), '"', concat(chr(92), '"')), '"}')
+                    WHEN f < 13 THEN concat('{"coco_annotations":{"annotations":[', ann, ']}}')
+                    WHEN f < 21 THEN concat('[', ann, ',', ann, ']')
+                    WHEN f < 29 THEN ann ELSE concat('{"categories":[],"annotations":[', ann, ']}') END AS coco_annotations
+        FROM (
+          SELECT *, j % 40 AS f, concat('{"id":', CAST(sample_index AS STRING),
+            CASE WHEN j % 29 = 0 THEN '' WHEN j % 31 = 0 THEN ',"category_id":null'
+                 ELSE concat(',"category_id":', CAST(original_category_id AS STRING)) END,
+            CASE WHEN j % 37 = 0 THEN '' WHEN j % 41 = 0 THEN ',"bbox":[1,2,3]' WHEN j % 53 = 0 THEN ',"bbox":[1,2,"3",4]'
+                 ELSE concat(',"bbox":[', CAST(CASE WHEN j % 19 = 0 THEN x - 450 ELSE x END AS STRING), ',', CAST(y AS STRING), ',',
+                             CAST(CASE WHEN j % 17 = 0 THEN 0 WHEN j % 23 = 0 THEN w + 500 ELSE w END AS STRING), ',', CAST(h AS STRING), ']') END,
+            CASE j % 13
+              WHEN 0 THEN concat(',"segmentation":[[', quad_far, ']]') WHEN 1 THEN concat(',"segmentation":[', quad, ']')
+              WHEN 2 THEN ',"segmentation":{"size":[512,512],"counts":[10,5,100]}'
+              WHEN 3 THEN ',"segmentation":{"size":[256,256],"counts":"abc"}' WHEN 4 THEN ',"segmentation":{"size":[512,512]}'
+              WHEN 5 THEN '' WHEN 6 THEN ',"segmentation":"oops"' WHEN 7 THEN ',"segmentation":[]'
+              WHEN 8 THEN ',"segmentation":[[1,2,3,4]]' WHEN 9 THEN ',"segmentation":[[1,2,3,4,5,6,7]]'
+              WHEN 10 THEN ',"segmentation":[[1,2,"a",4,5,6]]'
+              WHEN 11 THEN concat(',"segmentation":[[600,1,640,1,640,', CAST(h AS STRING), ',600,', CAST(h AS STRING), ']]')
+              ELSE concat(',"segmentation":[[', CAST(x AS STRING), ',7,', CAST(x + 5 AS STRING), ',7,', CAST(x + 9 AS STRING), ',7]]') END,
+            CASE WHEN j % 43 = 0 THEN ',"area":-1' WHEN j % 47 = 0 THEN ',"area":"big"'
+                 WHEN j % 2 = 0 THEN concat(',"area":', CAST(w * h AS STRING)) ELSE '' END,
+            CASE WHEN j % 59 = 0 THEN ',"iscrowd":"x"' WHEN j % 7 = 0 THEN ',"is_crowd":true'
+                 WHEN j % 11 = 0 THEN ',"iscrowd":1' ELSE '' END, '}') AS ann
+          FROM (
+            SELECT *, concat(CAST(x AS STRING), ',', CAST(y AS STRING), ',', CAST(x + w AS STRING), ',', CAST(y AS STRING), ',',
+                             CAST(x + w AS STRING), ',', CAST(y + h AS STRING), ',', CAST(x AS STRING), ',', CAST(y + h AS STRING)) AS quad,
+                   concat(CAST(px AS STRING), ',', CAST(y AS STRING), ',', CAST(px + w AS STRING), ',', CAST(y AS STRING), ',',
+                          CAST(px + w AS STRING), ',', CAST(y + h AS STRING), ',', CAST(px AS STRING), ',', CAST(y + h AS STRING)) AS quad_far
+            FROM (SELECT ann_id AS sample_index, image_id, CASE WHEN image_id % 4 = 0 THEN 'test' ELSE 'train' END AS split,
+                         ann_id % 1000003 AS j, x, y, w, h, original_category_id,
+                         CASE WHEN ann_id % 1000003 % 3 = 0 THEN x + 300 ELSE x END AS px
+                  FROM {fx_gt}) a) b) c""",
     "fx_regions": """
         SELECT image_id, CAST(1 AS BIGINT) AS region_id, CAST(32 AS BIGINT) AS x, CAST(32 AS BIGINT) AS y,
                CAST(448 AS BIGINT) AS w, CAST(448 AS BIGINT) AS h
@@ -59,7 +97,7 @@ VIEWS = {
         UNION ALL
         SELECT image_id, 2, 0, 0, 300, 512 FROM {fx_images} WHERE image_id % 6 = 0""",
     "fx_runs": """
-        SELECT concat('run_', CAST(s_suppkey AS VARCHAR(20))) AS run, s_suppkey AS run_pos,
+        SELECT concat('run_', CAST(s_suppkey AS STRING)) AS run, s_suppkey AS run_pos,
                CASE WHEN s_nationkey % 11 = 0 THEN 'gpu_b' ELSE 'gpu_a' END AS device_name,
                CASE WHEN s_nationkey % 7 = 0 THEN 'float16' ELSE 'bfloat16' END AS amp_dtype,
                CASE WHEN s_nationkey % 7 = 0 THEN 'false' ELSE 'true' END AS bf16_supported,
@@ -67,11 +105,11 @@ VIEWS = {
                '1024' AS tile_px, '256' AS overlap_px, '1008' AS resolution, 'mask-nms' AS merge_method,
                CASE WHEN s_acctbal < 0 THEN '0.5' ELSE '0.3' END AS dedup_iou,
                '512' AS maxdets, '0.0' AS score_thresh, '4' AS min_area,
-               CASE WHEN s_suppkey % 17 = 3 THEN CAST(NULL AS VARCHAR(20)) ELSE 'false' END AS hflip,
-               CASE WHEN s_suppkey % 17 = 3 THEN CAST(NULL AS VARCHAR(20)) ELSE 'false' END AS multi_scale
+               CASE WHEN s_suppkey % 17 = 3 THEN CAST(NULL AS STRING) ELSE 'false' END AS hflip,
+               CASE WHEN s_suppkey % 17 = 3 THEN CAST(NULL AS STRING) ELSE 'false' END AS multi_scale
         FROM {supplier}""",
     "fx_metrics": """
-        SELECT concat('run_', CAST(l_suppkey AS VARCHAR(20))) AS run, l_suppkey AS run_pos,
+        SELECT concat('run_', CAST(l_suppkey AS STRING)) AS run, l_suppkey AS run_pos,
                CASE l_linenumber WHEN 1 THEN 'Mask AP' WHEN 2 THEN 'Mask AP50' WHEN 3 THEN 'Mask AP_small'
                     WHEN 4 THEN 'Bnd AP instance' WHEN 5 THEN 'Mask AR@512' WHEN 6 THEN 'Bnd AP_small'
                     ELSE 'Bnd AP 8px' END AS metric,
@@ -79,7 +117,7 @@ VIEWS = {
         FROM {lineitem} GROUP BY 1, 2, 3""",
     "fx_metric_log": """
         SELECT run, source_priority, epoch, name, value FROM (
-          SELECT concat('run_', CAST(user_id % 5 AS VARCHAR(20))) AS run, event_id % 3 AS source_priority,
+          SELECT concat('run_', CAST(user_id % 5 AS STRING)) AS run, event_id % 3 AS source_priority,
                  CAST(date_part('day', ts) AS BIGINT) AS epoch, event_type AS name, value,
                  row_number() OVER (PARTITION BY user_id % 5, event_id % 3, CAST(date_part('day', ts) AS BIGINT),
                                     event_type ORDER BY event_id) AS rn
@@ -87,8 +125,11 @@ VIEWS = {
 }
 
 
+PARENT = re.compile(r"\{([a-z_]+)\}")
+
+
 def _parents(name: str) -> list[str]:
-    return re.findall(r"\{(\w+)\}", VIEWS[name])
+    return PARENT.findall(VIEWS[name])
 
 
 def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,7 +140,10 @@ def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         # A single small file is one split; real tables have far more splits than cores.
         return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
     tables = {parent: spark_view(spark, sf_dir, parent) for parent in _parents(name)}
-    return spark.sql(VIEWS[name], **tables)
+    # DataFrames are passed by name, so no temporary view stays behind; braces of JSON text are doubled.
+    parts = re.split(r"(\{[a-z_]+\})", VIEWS[name])
+    text = "".join(p if i % 2 else p.replace("{", "{{").replace("}", "}}") for i, p in enumerate(parts))
+    return spark.sql(text, **tables)
 
 
 def oracle(body: str, *views: str) -> str:
@@ -118,7 +162,7 @@ def oracle(body: str, *views: str) -> str:
 
     for view in views:
         visit(view)
-    ctes = [f"{n} AS MATERIALIZED ({re.sub(r'[{}]', '', VIEWS[n])})" for n in ordered]
+    ctes = [f"{n} AS MATERIALIZED ({PARENT.sub(r'\1', VIEWS[n])})" for n in ordered]
     text = body.strip()
     head = re.match(r"WITH\s+(RECURSIVE\s+)?", text, flags=re.I)
     recursive = bool(head and head.group(1))
