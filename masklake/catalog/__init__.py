@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["evaluation", "annotations"]
+MODULES = ["evaluation", "annotations", "geometry"]
 
 
 def all_cases() -> dict:

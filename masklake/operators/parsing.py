@@ -139,7 +139,7 @@ def annotation_rows(parsed: DataFrame) -> DataFrame:
         to_int("category_id").alias("category_id"),
         numbers.alias("bbox"), F.coalesce(F.size(box), F.lit(-1)).alias("bbox_len"),
         F.coalesce(F.forall(box, is_number), F.lit(False)).alias("bbox_numeric"),
-        F.coalesce(~F.is_variant_null(field("area")), F.lit(False)).alias("has_area"),
+        F.coalesce(present("area") & ~F.is_variant_null(field("area")), F.lit(False)).alias("has_area"),
         is_number(field("area")).alias("area_number"),
         F.when(is_number(field("area")), F.try_variant_get(field("area"), "$", "double")).alias("area"),
         crowd.alias("iscrowd"), let(seg, segmentation_struct).alias("segmentation"),
