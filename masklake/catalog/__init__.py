@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["evaluation", "annotations", "geometry"]
+MODULES = ["evaluation", "annotations", "geometry", "records"]
 
 
 def all_cases() -> dict:

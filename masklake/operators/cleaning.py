@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from masklake.functions.bind import let
 from masklake.functions.geometry import clip_box, polygon_area
 from masklake.operators import prefix
-from masklake.operators.parsing import let
 
 # Per-image object limit of the training filter, smallest kept mask, default names.
 MAX_OBJECTS = 1000

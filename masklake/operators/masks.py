@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from masklake.functions import rle
+from masklake.functions.bind import let
 
 SLAB = ["c0", "c1", "r0", "r1"]
 
@@ -192,10 +193,10 @@ def slabs_to_runs(slabs: DataFrame, keys: list[str], height: str) -> DataFrame:
     borders = F.flatten(F.transform(F.col("fg"), lambda r: F.array(r["s"], r["e"])))
     marks = F.concat(F.array(F.lit(0).cast("bigint")), borders,
                      F.array((h * F.col("width")).cast("bigint")))
-    lengths = F.transform(F.slice(marks, F.lit(2), F.size(marks) - 1),
-                          lambda v, i: v - F.get(marks, i))
+    lengths = let(marks, lambda ms: F.transform(
+        F.sequence(F.lit(1), F.size(ms) - 1), lambda i: F.get(ms, i) - F.get(ms, i - 1)))
     # A mask that ends in the last pixel has no trailing background run.
-    trimmed = F.when(F.element_at(lengths, -1) == 0, F.slice(lengths, F.lit(1), F.size(lengths) - 1)).otherwise(lengths)
+    trimmed = let(lengths, lambda ls: F.when(F.element_at(ls, -1) == 0, F.slice(ls, F.lit(1), F.size(ls) - 1)).otherwise(ls))
     return runs.select(*keys, trimmed.alias("runs"))
 
 

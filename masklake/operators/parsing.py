@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from masklake.functions.bind import let
+
 NESTING = 3
 DEFAULT_SIZE = 2048
 
@@ -30,11 +32,6 @@ def is_number(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v).rlike("^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"), F.lit(False))
 
 
-def let(value: Column, body) -> Column:
-    """`body(value)` with `value` evaluated once, however often the body mentions it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _all_objects(items: Column) -> Column:
     return F.forall(items, lambda v: as_map(v).isNotNull())
 
