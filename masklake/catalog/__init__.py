@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["evaluation", "annotations", "geometry", "records"]
+MODULES = ["evaluation", "annotations", "geometry", "records", "streams"]
 
 
 def all_cases() -> dict:
