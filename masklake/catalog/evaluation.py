@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from masklake.catalog import inputs
 from masklake.catalog.fixtures import CANVAS, oracle, spark_view
@@ -138,9 +141,9 @@ CURVE = f"""
       lvl AS (SELECT ai, ti, lv, coalesce(max(best), 0.0) AS pr FROM (
                 SELECT g.ai, g.ti, g.lv, q.best FROM
                   (SELECT ai, ti, lv FROM npig CROSS JOIN {THRS} t CROSS JOIN (SELECT unnest(range(101)) AS lv) l WHERE n > 0) g
-                LEFT JOIN (SELECT ai, ti, CAST(floor(rc * 100 + 1e-9) AS BIGINT) AS top, max(pr) AS best,
+                LEFT JOIN (SELECT ai, ti, CAST(floor(rc * 100 + 1e-9) AS BIGINT) AS reach, max(pr) AS best,
                                   min(rc) AS rc FROM pts GROUP BY 1, 2, 3) q
-                ON q.ai = g.ai AND q.ti = g.ti AND q.top >= g.lv) z GROUP BY ai, ti, lv)"""
+                ON q.ai = g.ai AND q.ti = g.ti AND q.reach >= g.lv) z GROUP BY ai, ti, lv)"""
 
 AP_ROWS = """
         SELECT 'AP' AS metric, avg(pr) FILTER (WHERE ai = 0) AS value FROM lvl
@@ -273,36 +276,27 @@ def boundary_ap_instance(spark, sf):
     return _boundary_ap(spark, sf, boundary.instance_width(), boundary.instance_width(area="area_mask"))
 
 
-def boundary_ap_sweep(spark, sf):
-    """Boundary AP and its share of mask AP at each band width of the sweep."""
+def _by_band(spark, sf, bands, combos=None):
     preds, gts, ranked = _tree_inputs(spark, sf)
-    bits, npig = evaluate.evaluate_masks(ranked, evaluate.mask_edges(preds, gts, extent=CANVAS), gts)
-    whole = list(range(10))
-    table = precision.precision_table(precision.precision_steps(bits, npig, whole), npig, whole)
-    mask = precision.average_precision(table).where("metric = 'AP'").select(F.col("value").alias("mask_ap"))
     one = lambda df: df.withColumn("n_slabs", F.lit(1))
-    out = None
-    for band in boundary.SWEEP_BANDS:
-        width = F.lit(band).cast("bigint")
-        edges = boundary.boundary_edges(one(preds), one(gts), width, width, floor=0.5, extent=CANVAS)
-        bits, npig = evaluate.evaluate_masks(ranked, edges, gts)
-        table = precision.precision_table(precision.precision_steps(bits, npig, whole), npig, whole)
-        row = (precision.average_precision(table).where("metric = 'AP'")
-               .select(F.lit(band).cast("bigint").alias("band_px"), F.col("value").alias("boundary_ap")))
-        out = row if out is None else out.unionByName(row)
-    return (out.join(mask.hint("broadcast"))
-            .select("band_px", F.round("boundary_ap", 9).alias("boundary_ap"),
-                    F.round(F.when(F.col("mask_ap") > 0, F.try_divide("boundary_ap", "mask_ap"))
-                            .otherwise(F.lit(float("nan"))), 9).alias("ratio_to_mask_ap")))
+    return boundary.ap_by_band(ranked, one(preds), one(gts), [boundary.WHOLE_MASK, *bands], extent=CANVAS, combos=combos)
+
+
+def boundary_ap_sweep(spark, sf):
+    """Boundary AP and its share of mask AP at each band width of the sweep."""
+    table = _by_band(spark, sf, boundary.SWEEP_BANDS, list(range(10))).where("metric = 'AP'")
+    whole = F.max(F.when(F.col("band_px") == boundary.WHOLE_MASK, F.col("value"))).over(Window.partitionBy("metric"))
+    rows = table.withColumn("mask_ap", whole).where(F.col("band_px") != boundary.WHOLE_MASK)
+    ratio = F.when(F.col("mask_ap") > 0, F.try_divide("value", "mask_ap")).otherwise(F.lit(float("nan")))
+    return rows.select("band_px", F.round("value", 9).alias("boundary_ap"), F.round(ratio, 9).alias("ratio_to_mask_ap"))
 
 
 def retention(spark, sf):
     """Boundary over mask AP by size for the fixed 8 px band."""
-    mask = mask_ap(spark, sf)
-    width = F.lit(8).cast("bigint")
-    edge = _boundary_ap(spark, sf, width, width).withColumn("metric", F.concat(F.lit("B_"), "metric"))
+    table = _by_band(spark, sf, [8])
+    tag = F.when(F.col("band_px") == 8, F.concat(F.lit("B_"), "metric")).otherwise(F.col("metric"))
     names = {"all": "AP", "small": "AP_small", "medium": "AP_medium", "large": "AP_large"}
-    out = boundary.retention_ratios(mask.unionByName(edge), names, {k: "B_" + v for k, v in names.items()})
+    out = boundary.retention_ratios(table.select(tag.alias("metric"), "value"), names, {k: "B_" + v for k, v in names.items()})
     return out.select("size", F.round("retention", 6).alias("retention"))
 
 
@@ -515,6 +509,21 @@ REC_FACTS = """,
         UNION ALL SELECT 'duplication', 'all', unnest(['covered_gt', 'mean', 'median', 'max']),
                unnest([count(*)::DOUBLE, avg(hits), quantile_cont(hits, 0.5), max(hits)::DOUBLE]) FROM facts WHERE hits > 0) r"""
 
+def retention_oracle() -> str:
+    """Two full evaluations side by side: tables of the second one carry the suffix `_b`."""
+    eight = "CAST(8 AS BIGINT)"
+    first = f"{MASK_SIMS},{MATCHING},{CURVE}"
+    second = f"{band_sims(eight, eight)},{MATCHING},{CURVE}"
+    for name in ("wide", "bands", "sims", "top", "busy", "cand", "st", "won", "npig", "outcome", "run", "pts", "lvl"):
+        second = re.sub(rf"(?<![\w.']){name}(?!\w)", name + "_b", second)
+    pick = lambda t: f"(SELECT avg(pr) FILTER (WHERE ai = k) FROM {t} WHERE ai = k)"
+    return oracle(f"""{HEAD}{first},{second}
+      SELECT n AS size, round({pick('lvl_b')} / {pick('lvl')}, 6) AS retention
+      FROM (VALUES ('all', 0), ('small', 1), ('medium', 2), ('large', 3)) v(n, k)""", "fx_pred", "fx_gt")
+
+
+RETENTION_SQL = retention_oracle()
+
 CASES = {
     "nms1_mask_greedy": (nms_mask, nms_oracle(0.3, ">=", "", 512)),
     "nms2_box_greedy": (nms_box, nms_oracle(0.3, ">=", "")),
@@ -541,7 +550,7 @@ CASES = {
             round(band / sqrt(CAST(max(width) * max(width) + max(height) * max(height) AS DOUBLE)), 9) AS ratio
             FROM fx_images CROSS JOIN ({SWEEP}) b GROUP BY band""", "fx_images")),
     "agg6_band_sweep": (boundary_ap_sweep, None),
-    "agg7_retention": (retention, None),
+    "agg7_retention": (retention, RETENTION_SQL),
     "bio1_instance_boundary_iou": (instance_biou, oracle(
         f"""{IOU_WON}, wide AS (SELECT m.*, {_round_even('pa')} AS pd, {_round_even('ga')} AS gd FROM met m JOIN won USING (image_id, pred_id, gt_id)),
         """ + band_sims("pd", "gd").split("bands AS", 1)[1].split("sims AS", 1)[0].join(["bands AS", ""]).rstrip().rstrip(",") +

@@ -45,7 +45,7 @@ def finished_images(spark, sf):
     grid = tiling.tile_grid(spark_view(spark, sf, "fx_images"), 256, 64)
     done = grid.where("NOT (image_id % 20 = 0 AND window_id = 'r2_c2')").select("image_id", "window_id", F.lit(9).cast("bigint").alias("n_windows"))
     stream, root = _replayed(spark, done, "windows")
-    return _drain(stateful.window_progress(stream), root)
+    return _drain(stateful.window_progress(stream, timeout=None), root)
 
 
 def log_progress(spark, sf):

@@ -31,13 +31,14 @@ def complete_images(instances: DataFrame, windows: DataFrame) -> DataFrame:
     return planned.join(seen, "image_id").where("seen >= planned").select("image_id")
 
 
-def window_progress(stream: DataFrame, timeout: str = "10 minutes") -> DataFrame:
-    """Emits an image when all its windows have arrived, or as incomplete when none came for `timeout`.
+def window_progress(stream: DataFrame, timeout: str | None = "10 minutes") -> DataFrame:
+    """Emits an image when all its windows have arrived, or as incomplete when none came for `timeout`
+    (None waits without end, and lets a query over finished input end).
 
     `stream(image_id, window_id, n_windows)` has one row per finished window. The state of an image is the set of
     window ids seen, bounded by its tile plan; instances themselves stay in the run table and are merged from there.
     """
-    wait_ms = int(pd.Timedelta(timeout).total_seconds() * 1000)
+    wait_ms = int(pd.Timedelta(timeout).total_seconds() * 1000) if timeout else None
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen, total = (set(state.get[0]), state.get[1]) if state.exists else (set(), 0)
@@ -53,11 +54,12 @@ def window_progress(stream: DataFrame, timeout: str = "10 minutes") -> DataFrame
             yield pd.DataFrame({"image_id": [key[0]], "windows": [len(seen)], "complete": [True]})
         else:
             state.update((sorted(seen), total))
-            state.setTimeoutDuration(wait_ms)
+            if wait_ms:
+                state.setTimeoutDuration(wait_ms)
 
     return stream.groupBy("image_id").applyInPandasWithState(
         update, "image_id bigint, windows bigint, complete boolean", "seen array<string>, total bigint", "append",
-        STATE_TIMEOUT.ProcessingTimeTimeout)
+        STATE_TIMEOUT.ProcessingTimeTimeout if timeout else STATE_TIMEOUT.NoTimeout)
 
 
 def merge_completed(progress: DataFrame, merge, checkpoint: str):
