@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from masklake.catalog.fixtures import oracle, spark_view
 from masklake.operators import cleaning, parsing, validation
+from masklake.session import materialize
 
 KEYS = ["split", "sample_index"]
 SIDE = F.lit(512).cast("bigint")
@@ -17,7 +18,8 @@ def _parsed(spark, sf):
 
 
 def _rows(spark, sf):
-    return parsing.annotation_rows(_parsed(spark, sf)).withColumns({"width": SIDE, "height": SIDE})
+    rows = materialize(parsing.annotation_rows(_parsed(spark, sf)), "annotations")
+    return rows.withColumns({"width": SIDE, "height": SIDE})
 
 
 def _checked(spark, sf):
@@ -174,7 +176,7 @@ ANNS = """WITH anns AS (
              CASE WHEN j % 37 = 0 OR j % 41 = 0 THEN 'shape' WHEN j % 53 = 0 THEN 'text' ELSE 'ok' END AS b,
              CASE WHEN j % 59 = 0 THEN 0 WHEN j % 7 = 0 OR j % 11 = 0 THEN 1 ELSE 0 END AS crowd
       FROM fx_payload p JOIN (SELECT CAST(unnest(range(2)) AS BIGINT) AS i) k
-        ON i < CASE WHEN j % 40 < 7 THEN 0 WHEN j % 40 BETWEEN 13 AND 20 THEN 2 ELSE 1 END),
+        ON i < CASE WHEN UNREADABLE OR j % 40 < 7 THEN 0 WHEN j % 40 BETWEEN 13 AND 20 THEN 2 ELSE 1 END),
     issues AS (
       SELECT sample_index, split, local_index, 0 AS o, 'missing_category_id' AS code FROM anns WHERE j % 29 = 0
       UNION ALL SELECT sample_index, split, local_index, 1, 'bbox_missing_or_malformed' FROM anns WHERE b = 'shape'
@@ -189,16 +191,16 @@ ANNS = """WITH anns AS (
           ELSE 'segmentation_polygon_out_of_bounds' END FROM anns WHERE s > 2 OR (s = 0 AND px + w > 512)
       UNION ALL SELECT sample_index, split, local_index, 6, 'segmentation_polygon_empty' FROM anns WHERE s = 11 AND h = 1
       UNION ALL SELECT sample_index, split, local_index, 7, 'area_non_positive' FROM anns WHERE j % 43 = 0 OR j % 47 = 0),
-    errors AS (SELECT sample_index, split FROM fx_payload WHERE j % 40 BETWEEN 3 AND 6),
+    errors AS (SELECT sample_index, split FROM fx_payload WHERE UNREADABLE),
     per AS (SELECT sample_index, local_index, count(*) AS n, count(*) FILTER (WHERE code LIKE 'bbox%') AS nb,
                    count(*) FILTER (WHERE code LIKE 'segm%') AS ns FROM issues GROUP BY 1, 2),
     report AS (
       SELECT p.split, p.sample_index, count(a.sample_index) AS annotations, count(a.sample_index) FILTER (WHERE coalesce(n, 0) = 0) AS valid,
-             count(a.sample_index) FILTER (WHERE n > 0) + max(CASE WHEN p.j % 40 BETWEEN 3 AND 6 THEN 1 ELSE 0 END) AS invalid,
+             count(a.sample_index) FILTER (WHERE n > 0) + max(CASE WHEN P_UNREADABLE THEN 1 ELSE 0 END) AS invalid,
              count(a.sample_index) FILTER (WHERE coalesce(nb, 0) = 0) AS bbox_valid, count(a.sample_index) FILTER (WHERE nb > 0) AS bbox_invalid,
              count(a.sample_index) FILTER (WHERE coalesce(ns, 0) = 0) AS segmentation_valid, count(a.sample_index) FILTER (WHERE ns > 0) AS segmentation_invalid,
              count(a.sample_index) FILTER (WHERE a.crowd = 1) AS crowd,
-             CAST(coalesce(sum(n), 0) + max(CASE WHEN p.j % 40 BETWEEN 3 AND 6 THEN 1 ELSE 0 END) AS BIGINT) AS issues
+             CAST(coalesce(sum(n), 0) + max(CASE WHEN P_UNREADABLE THEN 1 ELSE 0 END) AS BIGINT) AS issues
       FROM fx_payload p LEFT JOIN anns a ON a.sample_index = p.sample_index
       LEFT JOIN per ON per.sample_index = a.sample_index AND per.local_index = a.local_index GROUP BY 1, 2),
     cleaned AS (
@@ -211,14 +213,25 @@ ANNS = """WITH anns AS (
     """
 
 
+# An object without any annotation key is refused like the broken forms.
+BROKEN = ("(j % 40 BETWEEN 3 AND 6 OR (j % 40 BETWEEN 21 AND 28 AND j % 29 = 0 AND j % 37 = 0 AND j % 13 = 5))")
+
+
+def _fill(text: str) -> str:
+    return text.replace("P_UNREADABLE", BROKEN.replace("j %", "p.j %")).replace("UNREADABLE", BROKEN)
+
+
+ANNS = _fill(ANNS)
+
+
 def _o(body: str) -> str:
-    return oracle(ANNS + body, "fx_payload")
+    return oracle(ANNS + _fill(body), "fx_payload")
 
 
 D = "fx_dirty"
 CASES = {
-    "par1_parse_payload": (parse, _o("""SELECT p.sample_index, CASE WHEN j % 40 BETWEEN 3 AND 6 THEN -1 WHEN j % 40 < 3 THEN 0
-        WHEN j % 40 BETWEEN 13 AND 20 THEN 2 ELSE 1 END::BIGINT AS n, j % 40 BETWEEN 3 AND 6 AS failed FROM fx_payload p""")),
+    "par1_parse_payload": (parse, _o("""SELECT p.sample_index, CASE WHEN UNREADABLE THEN -1 WHEN j % 40 < 3 THEN 0
+        WHEN j % 40 BETWEEN 13 AND 20 THEN 2 ELSE 1 END::BIGINT AS n, UNREADABLE AS failed FROM fx_payload p""")),
     "par2_polygons": (polygons, _o("""SELECT sample_index, local_index, CAST(0 AS BIGINT) AS pos,
         CAST(CASE s WHEN 8 THEN 4 WHEN 9 THEN 7 WHEN 10 THEN 6 WHEN 12 THEN 6 ELSE 8 END AS BIGINT) AS n, s <> 10 AS numeric
         FROM anns WHERE s IN (0, 1, 8, 9, 10, 11, 12)""")),

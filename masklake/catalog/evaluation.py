@@ -445,6 +445,7 @@ IMG_LEVEL = """
 
 # Union masks as one 512-bit string per image column; erosion by shifting bits and by a window over columns.
 BITS = """
+      z AS (SELECT CAST(repeat('0', 512) AS BIT) AS zero),
       cols AS MATERIALIZED (SELECT DISTINCT side, image_id, y, h, unnest(range(x, x + w)) AS col FROM boxes),
       words AS MATERIALIZED (SELECT y, h, CAST(repeat('0', y) || repeat('1', h) || repeat('0', 512 - y - h) AS BIT) AS b
                              FROM (SELECT DISTINCT y, h FROM boxes) q),
@@ -453,11 +454,15 @@ BITS = """
         SELECT s.side, i.image_id, c.col, coalesce(f.b, CAST(repeat('0', 512) AS BIT)) AS b
         FROM {images} i CROSS JOIN (SELECT unnest(['p', 'g']) AS side) s CROSS JOIN (SELECT unnest(range(512)) AS col) c
         LEFT JOIN filled f ON f.side = s.side AND f.image_id = i.image_id AND f.col = c.col),
-      tall AS MATERIALIZED (SELECT side, image_id, col, b, """ + " & ".join(
-    [f"(b << {k}) & (b >> {k})" for k in range(1, 15)]) + """ & b AS v FROM dense),
-      core AS MATERIALIZED (SELECT side, image_id, col, b,
-               CASE WHEN count(*) OVER o = 29 THEN bit_and(v) OVER o ELSE CAST(repeat('0', 512) AS BIT) END AS e
-        FROM tall WINDOW o AS (PARTITION BY side, image_id ORDER BY col ROWS BETWEEN 14 PRECEDING AND 14 FOLLOWING)),
+      t2 AS (SELECT *, b & (b << 1) AS v2 FROM dense), t4 AS (SELECT *, v2 & (v2 << 2) AS v4 FROM t2),
+      t8 AS (SELECT *, v4 & (v4 << 4) AS v8 FROM t4), t16 AS (SELECT *, v8 & (v8 << 8) AS v16 FROM t8),
+      tall AS MATERIALIZED (SELECT side, image_id, col, b, (v16 & (v16 << 13)) >> 14 AS v FROM t16),
+      w2 AS MATERIALIZED (SELECT side, image_id, col, b, v & lead(v, 1, zero) OVER o AS v FROM tall CROSS JOIN z WINDOW o AS (PARTITION BY side, image_id ORDER BY col)),
+      w4 AS MATERIALIZED (SELECT side, image_id, col, b, v & lead(v, 2, zero) OVER o AS v FROM w2 CROSS JOIN z WINDOW o AS (PARTITION BY side, image_id ORDER BY col)),
+      w8 AS MATERIALIZED (SELECT side, image_id, col, b, v & lead(v, 4, zero) OVER o AS v FROM w4 CROSS JOIN z WINDOW o AS (PARTITION BY side, image_id ORDER BY col)),
+      w16 AS MATERIALIZED (SELECT side, image_id, col, b, v & lead(v, 8, zero) OVER o AS v FROM w8 CROSS JOIN z WINDOW o AS (PARTITION BY side, image_id ORDER BY col)),
+      w29 AS MATERIALIZED (SELECT side, image_id, col, b, v & lead(v, 13, zero) OVER o AS v FROM w16 CROSS JOIN z WINDOW o AS (PARTITION BY side, image_id ORDER BY col)),
+      core AS MATERIALIZED (SELECT side, image_id, col, b, lag(v, 14, zero) OVER o AS e FROM w29 CROSS JOIN z WINDOW o AS (PARTITION BY side, image_id ORDER BY col)),
       band AS MATERIALIZED (SELECT side, image_id, col, b, xor(b, e) AS r FROM core),
       biou AS MATERIALIZED (
         SELECT p.image_id, CAST(sum(bit_count(p.b)) AS BIGINT) AS pred_px, CAST(sum(bit_count(g.b)) AS BIGINT) AS gt_px,

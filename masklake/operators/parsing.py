@@ -29,7 +29,8 @@ def as_list(v: Column) -> Column:
 
 def is_number(v: Column) -> Column:
     """A JSON number (not a boolean, not text)."""
-    return F.coalesce(F.schema_of_variant(v).rlike("^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"), F.lit(False))
+    kind = F.schema_of_variant(v)
+    return F.coalesce((kind == "BIGINT") | kind.startswith("DECIMAL") | (kind == "DOUBLE"), F.lit(False))
 
 
 def _all_objects(items: Column) -> Column:
@@ -85,10 +86,9 @@ def segmentation_struct(v: Column) -> Column:
     text = F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
 
     def polygon(p: Column) -> Column:
-        coords = as_list(p)
-        numeric = F.forall(coords, is_number)
-        points = F.transform(coords, lambda e: F.when(is_number(e), F.try_variant_get(e, "$", "double")))
-        return F.struct(F.size(coords).alias("n"), numeric.alias("numeric"), points.alias("points"))
+        numbers = F.transform(as_list(p), lambda e: F.when(is_number(e), F.try_variant_get(e, "$", "double")))
+        return let(numbers, lambda points: F.struct(
+            F.size(points).alias("n"), (~F.exists(points, lambda v: v.isNull())).alias("numeric"), points.alias("points")))
 
     flat = F.forall(items, is_number)
     polygons = F.when(flat, F.array(polygon(v))).otherwise(

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from masklake.operators import cleaning, parsing, views
+from masklake.session import materialize
 from masklake.sources import sinks
 
 
 def export_tables(samples: DataFrame, collapse: bool = True) -> dict[str, DataFrame]:
     """`images`, `annotations`, `categories` of raw samples `(split, image_id, width, height, coco_annotations)`."""
     sized = cleaning.image_size(samples)
-    rows = parsing.annotation_rows(parsing.parse_payload(sized))
+    rows = materialize(parsing.annotation_rows(parsing.parse_payload(sized)), "annotations")
     cleaned = cleaning.clean_annotations(rows, collapse=collapse)
     ids = cleaning.assign_ids(cleaned.drop("segmentation"), "raw_id", ["image_id", "local_index"])
     kept = ids.where("drop_reason IS NULL")
