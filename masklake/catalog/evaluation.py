@@ -316,7 +316,7 @@ def instance_biou(spark, sf):
 
 def union_biou(spark, sf):
     out = boundary.union_boundary_iou(spark_view(spark, sf, "fx_images"), inputs.pred_slabs(spark, sf),
-                                      inputs.gt_slabs(spark, sf), extent=CANVAS)
+                                      inputs.gt_slabs(spark, sf))
     return out.select("image_id", "pred_px", "gt_px", F.round("biou", 9).alias("biou"))
 
 
@@ -389,14 +389,14 @@ def top_dense(spark, sf):
 def top_boundary(spark, sf):
     out = ranking.best_boundary_images(
         spark_view(spark, sf, "fx_images"), inputs.pred_slabs(spark, sf), inputs.gt_slabs(spark, sf), 10,
-        score=0.315, extent=CANVAS)
+        score=0.315)
     return out.select("image_id", F.round("biou", 9).alias("biou"))
 
 
 def top_boundary_buckets(spark, sf):
     out = ranking.best_per_density(
         spark_view(spark, sf, "fx_images"), inputs.pred_slabs(spark, sf), inputs.gt_slabs(spark, sf),
-        [(1, 25), (25, 35), (35, None)], 5, score=0.315, extent=CANVAS)
+        [(1, 25), (25, 35), (35, None)], 5, score=0.315)
     return out.select("bucket", F.col("pos").cast("bigint").alias("pos"), "image_id", "n_gt", F.round("biou", 9).alias("biou"))
 
 

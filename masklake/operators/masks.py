@@ -128,13 +128,15 @@ def erode_general(slabs: DataFrame, keys: list[str], width: str = "d") -> DataFr
     runs of what is left.
     """
     ks = [*keys, width]
+    return erode_runs(column_runs(slabs, ks), ks, width)
+
+
+def erode_runs(runs: DataFrame, keys: list[str], width: str = "d") -> DataFrame:
+    """Erosion of masks given as maximal vertical runs `(keys, line, p0, p1)`; `keys` includes the width."""
     d = F.col(width)
-    tall = (column_runs(slabs, ks).withColumns({"p0": F.col("p0") + d, "p1": F.col("p1") - d})
-            .where("p1 > p0"))
-    tall = _as_slabs(_stack_lines(tall, ks), ks, by_column=True)
-    wide = (row_runs(tall, ks).withColumns({"p0": F.col("p0") + d, "p1": F.col("p1") - d})
-            .where("p1 > p0"))
-    return _as_slabs(_stack_lines(wide, ks), ks, by_column=False)
+    shorter = lambda df: df.withColumns({"p0": F.col("p0") + d, "p1": F.col("p1") - d}).where("p1 > p0")
+    tall = _as_slabs(_stack_lines(shorter(runs), keys), keys, by_column=True)
+    return _as_slabs(_stack_lines(shorter(row_runs(tall, keys)), keys), keys, by_column=False)
 
 
 def erode_rectangles(slabs: DataFrame, width: str = "d") -> DataFrame:

@@ -30,29 +30,29 @@ def densest_images(images: DataFrame, gts: DataFrame, n: int, min_gt: int = 5) -
 
 
 def best_boundary_images(images: DataFrame, preds: DataFrame, gts: DataFrame, n: int, *, score: float,
-                         min_gt: int = 5, pool: int = 64, extent: int | None = None) -> DataFrame:
+                         min_gt: int = 5, pool: int = 64) -> DataFrame:
     """The `n` best images by union boundary IoU within the `pool` densest ones."""
     chosen = densest_images(images, gts, pool, min_gt)
-    return (scored_images(images.join(chosen, "image_id", "left_semi"), preds, gts, score, extent)
+    return (scored_images(images.join(chosen, "image_id", "left_semi"), preds, gts, score)
             .orderBy(F.col("biou").desc(), "image_id").limit(n))
 
 
-def scored_images(images: DataFrame, preds: DataFrame, gts: DataFrame, score: float, extent: int | None = None) -> DataFrame:
+def scored_images(images: DataFrame, preds: DataFrame, gts: DataFrame, score: float) -> DataFrame:
     """Union boundary IoU of images that have predictions at `score` or above."""
     p = preds.where(F.col("score") >= score).join(images, "image_id", "left_semi")
     g = gts.join(images, "image_id", "left_semi")
-    return boundary.union_boundary_iou(images, p, g, extent=extent).where("pred_px > 0").select("image_id", "biou")
+    return boundary.union_boundary_iou(images, p, g).where("pred_px > 0").select("image_id", "biou")
 
 
 def best_per_density(images: DataFrame, preds: DataFrame, gts: DataFrame, buckets: list[tuple[int, int | None]],
-                     per_bucket: int, *, score: float, extent: int | None = None) -> DataFrame:
+                     per_bucket: int, *, score: float) -> DataFrame:
     """Best images by union boundary IoU in each half-open annotation-count bucket, the last one open."""
     counts = gts.groupBy("image_id").agg(F.count_distinct("gt_id").alias("n_gt"))
     spans = F.array(*[F.struct(F.lit(f"{a}-{'+' if b is None else b}").alias("bucket"), F.lit(a).alias("lo"),
                                F.lit(b).cast("int").alias("hi")) for a, b in buckets])
     inside = F.filter(spans, lambda s: (F.col("n_gt") >= s["lo"]) & (s["hi"].isNull() | (F.col("n_gt") < s["hi"])))
     placed = counts.withColumn("_b", F.explode(inside)).select("image_id", "n_gt", "_b.bucket")
-    scored = scored_images(images.join(placed, "image_id", "left_semi"), preds, gts, score, extent)
+    scored = scored_images(images.join(placed, "image_id", "left_semi"), preds, gts, score)
     order = Window.partitionBy("bucket").orderBy(F.col("biou").desc(), "image_id")
     return (placed.join(scored, "image_id").withColumn("pos", F.row_number().over(order))
             .where(F.col("pos") <= per_bucket).select("bucket", "pos", "image_id", "n_gt", "biou"))
