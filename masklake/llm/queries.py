@@ -3,20 +3,33 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from masklake.llm import decontaminate, tokencount
+from masklake.llm import decontaminate, language, secrets, tokencount
+from masklake.llm.common import crc_bucket
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
+def op3_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.report(secrets.find_secrets(table(spark, sf, "documents")))
+
+
 def op7_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     import public_tokenizers
 
     return tokencount.count_tokens(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").withColumn("held_out", crc_bucket(F.col("doc_id"), 4) == 2)
+    filters = language.train(docs.where(~F.col("held_out")))
+    found = language.identify(docs.select("doc_id", "text", "held_out"), filters)
+    return found.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     hits = decontaminate.find_benchmark(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return decontaminate.report(hits)
@@ -42,6 +55,8 @@ FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 CASES = {
+    "op3_secret_scan": (op3_secret_scan, None),
     "op7_token_counts": (op7_token_counts, None),
+    "op9_language_id": (op9_language_id, None),
     "op10_benchmark_decontamination": (op10_benchmark_decontamination, OP10_SQL),
 }
