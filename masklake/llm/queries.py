@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from masklake.llm import decontaminate, language, secrets, tokencount
+from masklake.llm import decontaminate, exactdedup, language, secrets, tokencount
 from masklake.llm.common import crc_bucket
 
 
@@ -13,6 +13,18 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
+def op1_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return exactdedup.dedup(table(spark, sf, "documents"))
+
+
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept,
+  sha256(t) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY t)
+"""
+
+
 def op3_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.report(secrets.find_secrets(table(spark, sf, "documents")))
 
@@ -55,6 +67,7 @@ FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 CASES = {
+    "op1_exact_dedup": (op1_exact_dedup, OP1_SQL),
     "op3_secret_scan": (op3_secret_scan, None),
     "op7_token_counts": (op7_token_counts, None),
     "op9_language_id": (op9_language_id, None),
