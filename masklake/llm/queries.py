@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from masklake.llm import decontaminate, exactdedup, language, mixing, secrets, tokencount
+from masklake.llm import classlm, decontaminate, exactdedup, language, mixing, secrets, tokencount
 from masklake.llm.common import crc_bucket
 
 
@@ -29,6 +29,11 @@ def op3_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.report(secrets.find_secrets(table(spark, sf, "documents")))
 
 
+def op5_class_lm(spark: SparkSession, sf: str) -> DataFrame:
+    docs = classlm.held_out(table(spark, sf, "documents"))
+    return classlm.score(docs, classlm.train(docs.where(~F.col("held_out"))))
+
+
 def op6_source_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents"))
 
@@ -73,6 +78,7 @@ FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 CASES = {
     "op1_exact_dedup": (op1_exact_dedup, OP1_SQL),
     "op3_secret_scan": (op3_secret_scan, None),
+    "op5_class_lm": (op5_class_lm, None),
     "op6_source_mix": (op6_source_mix, None),
     "op7_token_counts": (op7_token_counts, None),
     "op9_language_id": (op9_language_id, None),
