@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from masklake.session import materialize
+
 BATCH_BYTES = 4 << 20
 _CHUNK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
@@ -137,3 +139,46 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = BATCH_BYT
             upto = max(at + 1, int(np.searchsorted(size, done + most, side="right")))
             yield batch.slice(at, upto - at)
             at = upto
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Consecutive rows of equal keys, each as one batch; rows must arrive sorted or grouped by the keys."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        columns = [np.asarray(batch.column(k)) for k in keys]
+        change = np.zeros(len(batch) - 1, bool)
+        for c in columns:
+            change |= c[1:] != c[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), len(batch)]
+        for a, z in zip(cuts, cuts[1:], strict=False):
+            key = tuple(c[a].item() for c in columns)
+            if key != now and held:
+                yield now, held[0] if len(held) == 1 else pa.concat_batches(held)
+                held = []
+            now = key
+            held.append(batch.slice(a, z - a))
+    if held:
+        yield now, held[0] if len(held) == 1 else pa.concat_batches(held)
+
+
+def components(edges: DataFrame, label: str) -> DataFrame:
+    """(node, label): the smallest node of each node's connected component, for the undirected edges (u, v).
+
+    Each round every node takes the smallest label around it and then the label of that label, so the number of rounds grows with the
+    logarithm of a component's diameter. Rounds are written tables; nothing but a count reaches the driver.
+    """
+    both = materialize(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+                       .where("u != v").distinct(), f"{label}-edges")
+    labels = materialize(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label"))
+                         .select(F.col("u").alias("node"), "label"), f"{label}-labels")
+    while True:
+        near = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("label").alias("near"))
+        step = labels.join(near, labels["node"] == near["u"]).select("node", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
+        jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
+        new = materialize(step.join(jump, "mid").select("node", F.least("mid", "far").alias("label"), "old"), f"{label}-labels")
+        labels = new.select("node", "label")
+        if new.where("label != old").isEmpty():
+            return labels

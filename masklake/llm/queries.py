@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from masklake.llm import classlm, decontaminate, exactdedup, language, mixing, secrets, tokencount
+from masklake.llm import classlm, decontaminate, exactdedup, language, mixing, ngramjoin, secrets, tokencount
 from masklake.llm.common import crc_bucket
 
 
@@ -25,6 +25,10 @@ FROM d WINDOW w AS (PARTITION BY t)
 """
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return ngramjoin.near_duplicates(table(spark, sf, "documents"))
+
+
 def op3_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.report(secrets.find_secrets(table(spark, sf, "documents")))
 
@@ -77,6 +81,7 @@ FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 
 CASES = {
     "op1_exact_dedup": (op1_exact_dedup, OP1_SQL),
+    "op2_ngram_jaccard_join": (op2_ngram_jaccard_join, None),
     "op3_secret_scan": (op3_secret_scan, None),
     "op5_class_lm": (op5_class_lm, None),
     "op6_source_mix": (op6_source_mix, None),
