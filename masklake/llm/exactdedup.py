@@ -71,7 +71,7 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(key, kind="stable")
         again = np.flatnonzero(key[order][1:] == key[order][:-1])
         if not len(again):
-            yield batch
+            yield _entries(*(batch.column(c) for c in ("key", "text", "keep_id", "group_size")))
             continue
         ids, n = np.asarray(batch.column("keep_id")), np.asarray(batch.column("group_size")).copy()
         ids, gone = ids.copy(), np.zeros(len(batch), bool)
@@ -82,9 +82,12 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if at != row:
                 ids[at], gone[row] = min(ids[at], ids[row]), True
                 n[at] += n[row]
-        batch = batch.set_column(batch.schema.get_field_index("keep_id"), "keep_id", pa.array(ids))
-        batch = batch.set_column(batch.schema.get_field_index("group_size"), "group_size", pa.array(n))
-        yield batch.filter(pa.array(~gone))
+        stay = pa.array(~gone)
+        yield _entries(batch.column("key").filter(stay), texts.filter(stay), pa.array(ids[~gone]), pa.array(n[~gone]))
+
+
+def _entries(key, text, keep_id, group_size) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([key, text, keep_id, group_size], ["key", "text", "keep_id", "group_size"])
 
 
 def _own(owner_bits: int, capacity: int):
