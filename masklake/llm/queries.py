@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from masklake.llm import classlm, decontaminate, exactdedup, language, mixing, ngramjoin, secrets, tokencount
+from masklake.llm import classlm, decontaminate, exactdedup, language, mixing, ngramjoin, personal, secrets, tokencount
 from masklake.llm.common import crc_bucket
 
 
@@ -33,6 +33,11 @@ def op3_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.report(secrets.find_secrets(table(spark, sf, "documents")))
 
 
+def op4_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return personal.report(docs, personal.find_personal(docs))
+
+
 def op5_class_lm(spark: SparkSession, sf: str) -> DataFrame:
     docs = classlm.held_out(table(spark, sf, "documents"))
     return classlm.score(docs, classlm.train(docs.where(~F.col("held_out"))))
@@ -83,6 +88,7 @@ CASES = {
     "op1_exact_dedup": (op1_exact_dedup, OP1_SQL),
     "op2_ngram_jaccard_join": (op2_ngram_jaccard_join, None),
     "op3_secret_scan": (op3_secret_scan, None),
+    "op4_personal_data": (op4_personal_data, None),
     "op5_class_lm": (op5_class_lm, None),
     "op6_source_mix": (op6_source_mix, None),
     "op7_token_counts": (op7_token_counts, None),
