@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from masklake.llm import classlm, decontaminate, exactdedup, language, mixing, ngramjoin, personal, secrets, tokencount
+from masklake.llm import classlm, decontaminate, exactdedup, language, linededup, mixing, ngramjoin, personal, secrets, tokencount
 from masklake.llm.common import crc_bucket
 
 
@@ -53,6 +53,11 @@ def op7_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return linededup.report(docs, linededup.removed_lines(docs))
+
+
 def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").withColumn("held_out", crc_bucket(F.col("doc_id"), 4) == 2)
     filters = language.train(docs.where(~F.col("held_out")))
@@ -92,6 +97,7 @@ CASES = {
     "op5_class_lm": (op5_class_lm, None),
     "op6_source_mix": (op6_source_mix, None),
     "op7_token_counts": (op7_token_counts, None),
+    "op8_line_dedup": (op8_line_dedup, None),
     "op9_language_id": (op9_language_id, None),
     "op10_benchmark_decontamination": (op10_benchmark_decontamination, OP10_SQL),
 }
