@@ -32,7 +32,8 @@ HASHES, BANDS = 128, 32
 STEP = 16
 TOLERANCE = 1e-7
 BLOCK = 384
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 1 << 20
+PIECE_BYTES = 1 << 20
 _DENSE = 4096
 _seeds = np.random.RandomState(7)
 _FACTORS = _seeds.randint(0, 1 << 31, HASHES).astype(np.uint32) * np.uint32(2) + np.uint32(1)
@@ -138,7 +139,7 @@ def _in_blocks(rows: DataFrame, key: str, blocks) -> DataFrame:
 
 def _sign(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE_BYTES):
             keys, bounds = shingles(batch.column("text"), width)
             values = signatures(keys, bounds)
             sums = np.concatenate([[np.uint64(0)], np.cumsum(keys)])
