@@ -1,22 +1,72 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input.
+
+Every stage takes (spark, docs, sf_dir) and returns the columns of documents; the last adds the number of copies to take. doc_id is
+unique in documents. An empty table passes through all stages as an empty table.
+"""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from masklake.llm import decontaminate, language, linededup, mixing, ngramjoin
+from masklake.llm.common import crc_bucket
 from masklake.session import checkpoint_root
 
-STAGES: list = []
+#: A text whose best language contains a smaller share of its n-grams is not prose of any language that was learned.
+LEAST_SCORE = 0.2
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that have letters and look like one of the languages learned from the labelled ones."""
+    filters = language.train(docs.where(crc_bucket(F.col("doc_id"), 4) != 2))
+    found = language.identify(docs, filters)
+    return found.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts lines that an earlier line of the corpus repeats; a document with nothing left but white space goes."""
+    cut = linededup.dedup_lines(docs).where((F.size("lines_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return cut.withColumn("n_chars", F.when(F.size("lines_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document, that of the smallest id, of each class of near duplicates."""
+    kept = ngramjoin.near_duplicates(docs).where("doc_id = class_id").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+
+
+def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in which a window of the benchmark occurs."""
+    hits = decontaminate.find_benchmark(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
+    return docs.join(hits.where(F.size("spans") > 0).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with `copies`, how often."""
+    taken = mixing.mix(docs).where("copies > 0").select("doc_id", "copies")
+    return docs.join(taken, "doc_id").select(*docs.columns, "copies")
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("line dedup", dedup_lines),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("benchmark decontamination", decontaminate_benchmark),
+    ("mixing sources to target weights", mix_sources),
+]
+
+#: SQL cannot express MinHash pruning, Bloom filters and the random mix; tests compare run() with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows that the last stage returns."""
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    root = f"{checkpoint_root(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        path = f"{checkpoint_root(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}-{k}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        stage(spark, docs, sf_dir).write.parquet(f"{root}/{k}")
+        docs = spark.read.parquet(f"{root}/{k}")
     return docs
