@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from masklake.session import materialize
 
@@ -170,8 +171,12 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     Each round every node takes the smallest label around it and then the label of that label, so the number of rounds grows with the
     logarithm of a component's diameter. Rounds are written tables; nothing but a count reaches the driver.
     """
-    both = materialize(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-                       .where("u != v").distinct(), f"{label}-edges")
+    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct()
+    # the smaller neighbours of a node are linked to the smallest of them instead, which leaves few different edges
+    least = F.min("v").over(Window.partitionBy("u"))
+    star = down.select("u", "v", least.alias("w")).select(F.when(F.col("v") == F.col("w"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("w").alias("v"))
+    star = materialize(star.distinct(), f"{label}-star")
+    both = materialize(star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), f"{label}-edges")
     labels = materialize(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label"))
                          .select(F.col("u").alias("node"), "label"), f"{label}-labels")
     while True:

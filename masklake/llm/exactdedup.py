@@ -25,6 +25,8 @@ from masklake.llm.common import bound_batches, id_and_text, pieces, slots
 from masklake.session import materialize
 
 CAPACITY = 512
+#: Stands for a missing id inside the index, so that any other is smaller.
+NO_ID = (1 << 63) - 1
 
 
 def normalised(text: Column) -> Column:
@@ -146,7 +148,7 @@ def write_index(docs: DataFrame, key: Column | None = None, capacity: int = CAPA
     """
     bound_batches(docs.sparkSession)
     owner_bits = max(4, (4 * slots(docs) - 1).bit_length())
-    rows = id_and_text(docs).select(normalised(F.col("text")).alias("text"), F.col("doc_id").cast("bigint").alias("keep_id"))
+    rows = id_and_text(docs).select(normalised(F.col("text")).alias("text"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("keep_id"))
     rows = rows.select(*[(F.xxhash64("text") if key is None else key).alias("key"), "text", "keep_id",
                          F.lit(1).cast("bigint").alias("group_size")])
     folded = rows.mapInArrow(_fold, rows.schema)
@@ -169,7 +171,7 @@ def buckets(index: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """One row for each document: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text, in UTF-8).
 
-    Of equal normalised texts the smallest doc_id stays; null counts as empty, and empty texts are equal to each other. doc_id is a whole number and
+    Of equal normalised texts the smallest doc_id stays; a null id is larger than any other. A null text counts as empty, and empty texts are equal to each other. doc_id is a whole number and
     unique; rows that repeat a doc_id together with its text are all counted and all marked kept if that id is. Other columns
     are not read. An empty table gives an empty result. Texts of any length are compared whole.
     """
@@ -177,6 +179,6 @@ def dedup(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     rows = id_and_text(docs).select("doc_id", normalised(F.col("text")).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("key"), F.sha2("text", 256).alias("text_sha256"))
     joined = rows.join(index.select("key", "text_sha256", "keep_id", "group_size"), ["key", "text_sha256"], "left")
-    keep = F.coalesce("keep_id", F.col("doc_id").cast("bigint"))
+    keep = F.when(F.col("keep_id").isNull(), F.col("doc_id").cast("bigint")).otherwise(F.nullif("keep_id", F.lit(NO_ID)))
     return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("bigint")).alias("group_size"),
-                         (F.col("doc_id") == keep).alias("kept"), "text_sha256")
+                         F.col("doc_id").cast("bigint").eqNullSafe(keep).alias("kept"), "text_sha256")

@@ -62,9 +62,9 @@ def removed_lines(docs: DataFrame, width: int = WIDTH, threshold: float = THRESH
     """doc_id, line_no (from 0) of every line that an earlier line removes.
 
     Lines end at line feeds. Null and empty texts have no lines that could go. doc_id is a unique number; rows that repeat it with the same text
-    are the same lines and stay or go together. An empty table gives an empty result. Other columns are not read.
+    are the same lines and stay or go together; rows without one keep all lines. An empty table gives an empty result. Other columns are not read.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = F.size("tokens")
     screened = token_sets(_lines(docs), width).select(
         "doc_id", "line_no", F.xxhash64("tokens").alias("d1"), F.xxhash64("tokens", F.lit(width)).alias("d2"),

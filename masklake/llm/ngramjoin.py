@@ -228,11 +228,12 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
     rep_id is the smallest doc_id with the same set of n-grams, class_id the smallest of all that links connect to it, class_size the number
     of documents in the class, n_links the number of other sets with a Jaccard similarity of the threshold or more. Words are runs of anything but
     ASCII white space, A-Z in lower case. Documents without words (null, empty) are alone in their class. doc_id is a whole number; rows
-    that repeat it with the same text count as copies. An empty table gives an empty result; other columns are not read.
+    that repeat it with the same text count as copies, rows without one are alone in a class without id. An empty table gives an empty result; other columns are not read.
     """
     bound_batches(docs.sparkSession)
     least = least_agreements(threshold, tolerance)
-    rows = id_and_text(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    every = id_and_text(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    rows, none = every.where("doc_id is not null"), F.lit(None).cast("bigint")
     signed = materialize(rows.mapInArrow(_sign(width), "doc_id bigint, size bigint, d1 bigint, d2 bigint, values binary"), "signed")
     sets = materialize(signed.where("size > 0").groupBy("size", "d1", "d2").agg(F.min("doc_id").alias("rep")), "sets")
     reps = signed.where("size > 0").join(sets.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -259,4 +260,6 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
         F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
     named = materialize(named, "named")
     sizes = named.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    return named.join(sizes, "class_id").select("doc_id", "rep_id", "class_id", "class_size", "n_links")
+    alone = every.where("doc_id is null").select(none.alias("doc_id"), none.alias("rep_id"), none.alias("class_id"),
+                                                 F.lit(1).cast("bigint").alias("class_size"), F.lit(0).cast("bigint").alias("n_links"))
+    return named.join(sizes, "class_id").select("doc_id", "rep_id", "class_id", "class_size", "n_links").unionByName(alone)

@@ -65,7 +65,7 @@ VOTES = ["v_form", "v_gazetteer", "v_context", "v_check", "v_real"]
 
 
 def proposals(docs: DataFrame) -> DataFrame:
-    """doc_id, kind (its number), start, end, match, before (up to `CONTEXT` characters), one row for each match of a pattern."""
+    """doc_id, print (of the text), kind (its number), start, end, match, before (up to `CONTEXT` characters), one row for each match."""
     text = F.col("text")
     found = []
     for number, kind in enumerate(KINDS):
@@ -73,13 +73,13 @@ def proposals(docs: DataFrame) -> DataFrame:
         both = F.struct(F.lit(number).alias("kind"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("matches"),
                         F.split(text, PATTERNS[kind], -1).alias("pieces"))
         found.append(F.when(GATES[kind](text), both))
-    kinds = docs.select("doc_id", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull() & (F.size(x["matches"]) > 0))).alias("f"))
+    kinds = docs.select("doc_id", "print", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull() & (F.size(x["matches"]) > 0))).alias("f"))
     parts = F.transform(F.col("f.matches"), lambda m, i: F.struct(
         m.alias("match"), F.length(F.get(F.col("f.pieces"), i)).alias("gap"), F.substring(F.get(F.col("f.pieces"), i), -CONTEXT, CONTEXT).alias("before")))
-    rows = kinds.select("doc_id", F.col("f.kind").alias("kind"), F.posexplode(parts).alias("i", "m")).select("doc_id", "kind", "i", "m.*")
-    rows = rows.dropDuplicates(["doc_id", "kind", "i"])
-    passed = F.sum(F.col("gap") + F.length("match")).over(Window.partitionBy("doc_id", "kind").orderBy("i"))
-    return rows.select("doc_id", "kind", (passed - F.length("match")).alias("start"), passed.alias("end"), "match", "before")
+    rows = kinds.select("doc_id", "print", F.col("f.kind").alias("kind"), F.posexplode(parts).alias("i", "m")).select("doc_id", "print", "kind", "i", "m.*")
+    rows = rows.dropDuplicates(["doc_id", "print", "kind", "i"])
+    passed = F.sum(F.col("gap") + F.length("match")).over(Window.partitionBy("doc_id", "print", "kind").orderBy("i"))
+    return rows.select("doc_id", "print", "kind", (passed - F.length("match")).alias("start"), passed.alias("end"), "match", "before")
 
 
 def _digits() -> Column:
@@ -191,26 +191,31 @@ def classified(voted: DataFrame) -> DataFrame:
     return out.withColumn("probability", 1 / (1 + F.exp(-odds))).drop(*[f"w_{f}" for f in ["", *FEATURES]])
 
 
+def _print() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def find_personal(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
-    """doc_id, kind (name), start, end (code points, end exclusive), probability, base: all spans that stay.
+    """doc_id, print (of the text), kind (name), start, end (code points, end exclusive), probability, base: all spans that stay.
 
-    Null and empty texts have none. doc_id is unique; rows that repeat it with the same text are found once. Other columns are not
+    Null and empty texts have none. A document is its id, null or not, with its text: rows that repeat both are found once. Other columns are not
     read. Whole texts are searched. An empty table, or one without any span, gives an empty result.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select("doc_id", _print().alias("print"), F.coalesce("text", F.lit("")).alias("text"))
     voted = materialize(with_votes(proposals(rows)), "span-votes")
     spans = classified(voted)
     base = F.col("kind") < BASE
     kept = spans.where(F.when(base, F.col("valid")).otherwise(F.col("probability") >= accept))
-    return kept.select("doc_id", F.col("kind").alias("kind_number"), F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1).alias("kind"),
+    return kept.select("doc_id", "print", F.col("kind").alias("kind_number"), F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1).alias("kind"),
                        "start", "end", "probability", base.alias("base"))
 
 
 def report(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """For each row of `docs`: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (as text)."""
     listed = F.array_sort(F.collect_list(F.struct("kind_number", "start", "end", "kind", "base")))
-    by_doc = spans.groupBy("doc_id").agg(listed.alias("s"))
-    joined = docs.select("doc_id").join(by_doc, "doc_id", "left").withColumn("s", F.coalesce("s", F.array().cast(by_doc.schema["s"].dataType)))
+    by_doc = spans.groupBy(F.col("doc_id").alias("id"), "print").agg(listed.alias("s"))
+    rows = docs.select("doc_id", _print().alias("own"))
+    joined = rows.join(by_doc, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("print")), "left").withColumn("s", F.coalesce("s", F.array().cast(by_doc.schema["s"].dataType)))
     text = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     count = lambda kind: F.size(F.filter("s", lambda s: s["base"] & (s["kind"] == kind))).cast("bigint")
     base = F.filter("s", lambda s: s["base"])
