@@ -44,13 +44,15 @@ def _prefix_length(n: Column, threshold: float) -> Column:
 
 
 def token_sets(lines: DataFrame, width: int) -> DataFrame:
-    """`lines` with `tokens` (distinct hashes of runs of words, ascending) for lines of `width` words or more, in place of `line`."""
-    words = F.transform(F.filter(F.split(F.lower("line"), r"[\x20\x09-\x0D]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
-    # a longer piece of the same array, shifted, is read by position
-    run = F.transform(F.slice("words", F.lit(1), F.size("words") - (width - 1)),
-                      lambda w, i: F.xxhash64(w, *[F.get(F.col("words"), i + k) for k in range(1, width)]))
-    return (lines.withColumn("words", words).where(F.size("words") >= width)
-            .withColumn("tokens", F.sort_array(F.array_distinct(run))).drop("line", "words"))
+    """`lines` with `tokens` (distinct hashes of runs of words, ascending; none for a line of fewer words) in place of `line`."""
+    words = F.transform(F.split(F.trim(F.regexp_replace(F.lower("line"), r"[\x09-\x0D]", " ")), r"\x20+"), lambda w: F.xxhash64(w))
+    runs, length = F.col("words"), 1
+    while length < width:  # a run of words is two shorter ones, the second shifted
+        step = min(length, width - length)
+        count = F.greatest(F.size(runs) - step, F.lit(0))
+        runs = F.zip_with(F.slice(runs, F.lit(1), count), F.slice(runs, F.lit(1 + step), count), lambda x, y: F.xxhash64(x, y))
+        length += step
+    return lines.withColumn("words", words).select("doc_id", "line_no", F.sort_array(F.array_distinct(runs)).alias("tokens"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -69,15 +71,14 @@ def removed_lines(docs: DataFrame, width: int = WIDTH, threshold: float = THRESH
     screened = token_sets(_lines(docs), width).select(
         "doc_id", "line_no", F.xxhash64("tokens").alias("d1"), F.xxhash64("tokens", F.lit(width)).alias("d2"),
         F.slice("tokens", F.lit(1), _prefix_length(n, threshold)).alias("prefix"))
-    screened = materialize(screened, "line-prefixes")
+    screened = materialize(screened, "line-prefixes").where(F.size("prefix") > 0)
     place = F.struct("doc_id", "line_no")
     firsts = materialize(screened.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("copies")), "line-firsts")
 
-    tokens = screened.select("doc_id", "line_no", "d1", "d2", F.explode("prefix").alias("token"))
+    tokens = screened.select("d1", F.explode("prefix").alias("token"))
     shared = tokens.groupBy("token").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).where("low != high").select("token")
-    held = tokens.join(_small(materialize(shared, "shared-tokens")), "token", "left_semi").select("doc_id", "line_no", "d1", "d2")
-    held = held.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "line_no")).alias("place"))
-    likely = materialize(held.join(firsts, ["d1", "d2"]).select("d1", "d2", "first.*"), "likely-lines")
+    held = tokens.join(_small(materialize(shared, "shared-tokens")), "token", "left_semi").select("d1").distinct()
+    likely = materialize(firsts.join(held, "d1", "left_semi").select("d1", "d2", "first.*"), "likely-lines")
     wanted = materialize(likely.groupBy("doc_id").agg(F.collect_set("line_no").alias("wanted")), "likely-documents")
     again = docs.join(_small(wanted), "doc_id").select(
         "doc_id", F.explode(F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line_no"), x.alias("line"))),
@@ -86,23 +87,24 @@ def removed_lines(docs: DataFrame, width: int = WIDTH, threshold: float = THRESH
     sets = materialize(sets.withColumn("id", F.xxhash64("doc_id", "line_no", F.lit(width))), "likely-sets")
 
     each = sets.select("id", F.explode("tokens").alias("token"))
-    rarity = each.groupBy("token").agg(F.count("*").alias("df"))
-    ordered = each.join(rarity, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
-    ordered = ordered.select("id", F.transform("t", lambda t: t["token"]).alias("tokens"),
-                             F.filter(F.slice("t", F.lit(1), _prefix_length(F.size("t"), threshold)), lambda t: t["df"] > 1).alias("common"),
-                             F.slice("t", F.lit(1), _prefix_length(F.size("t"), threshold)).alias("front"))
-    ordered = materialize(ordered.join(sets.select("id", "doc_id", "line_no"), "id").select(
-        "id", "doc_id", "line_no", "tokens", F.transform("front", lambda t: t["token"]).alias("prefix"),
-        F.transform("common", lambda t: t["token"]).alias("common")), "ordered-sets")
-
-    posted = ordered.select("id", F.explode("common").alias("token"))
+    rarity = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    # tokens of one set alone come first in its order and are in no intersection: their number says all
+    common = each.join(rarity, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+    ordered = common.join(sets.select("id", "doc_id", "line_no", F.size("tokens").alias("n")), "id")
+    ordered = ordered.where(F.size("t") >= _need(F.col("n"), F.col("n") * threshold, threshold)).withColumn("lone", F.col("n") - F.size("t"))
+    front = F.greatest(_prefix_length(F.col("n"), threshold) - F.col("lone"), F.lit(0))
+    ordered = ordered.select("id", "doc_id", "line_no", "n", "lone", F.transform("t", lambda t: t["token"]).alias("tokens"),
+                             F.transform(F.slice("t", F.lit(1), front), lambda t: t["token"]).alias("prefix"))
+    ordered = materialize(ordered.where(F.size("prefix") > 0), "ordered-sets")
+
+    posted = ordered.select("id", F.explode("prefix").alias("token"))
     lead = posted.groupBy("token").agg(F.min("id").alias("lead"), F.count("*").alias("m")).where("m > 1")
     edges = posted.join(lead, "token").select(F.col("id").alias("u"), F.col("lead").alias("v")).where("u != v")
     groups = components(edges, "line-groups").withColumnsRenamed({"node": "id", "label": "part"})
-    members = ordered.drop("common").join(groups, "id")
+    members = ordered.join(groups, "id")
     sizes = groups.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     members = members.join(sizes, "part").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
-    item = F.struct(place.alias("place"), F.size("tokens").alias("n"), "prefix", "tokens", "id")
+    item = F.struct(place.alias("place"), "n", "lone", "prefix", "tokens")
     blocks = materialize(members.groupBy("part", "block").agg(F.collect_list(item).alias("items")), "line-blocks")
     left = blocks.withColumnsRenamed({"block": "b", "items": "a_items"})
     right = blocks.withColumnsRenamed({"block": "c", "items": "c_items"})
@@ -111,7 +113,8 @@ def removed_lines(docs: DataFrame, width: int = WIDTH, threshold: float = THRESH
     def similar(x: Column, y: Column) -> Column:
         need = _need(x["n"], y["n"], threshold)
         first = F.get(F.array_intersect(x["prefix"], y["prefix"]), F.lit(0))
-        reach = 1 + F.least(x["n"] - F.array_position(x["prefix"], first), y["n"] - F.array_position(y["prefix"], first))
+        left = lambda z: z["n"] - z["lone"] - F.array_position(z["prefix"], first)  # noqa: E731  tokens after that one
+        reach = 1 + F.least(left(x), left(y))
         return ((F.least(x["n"], y["n"]) >= F.greatest(x["n"], y["n"]) * threshold - 1e-9)
                 & F.coalesce(reach >= need, F.lit(False)) & (F.size(F.array_intersect(x["tokens"], y["tokens"])) >= need))
 
