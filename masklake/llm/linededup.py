@@ -46,13 +46,13 @@ def _prefix_length(n: Column, threshold: float) -> Column:
 def token_sets(lines: DataFrame, width: int) -> DataFrame:
     """`lines` with `tokens` (distinct hashes of runs of words, ascending; none for a line of fewer words) in place of `line`."""
     words = F.transform(F.split(F.trim(F.regexp_replace(F.lower("line"), r"[\x09-\x0D]", " ")), r"\x20+"), lambda w: F.xxhash64(w))
-    runs, length = F.col("words"), 1
-    while length < width:  # a run of words is two shorter ones, the second shifted
+    out, length = lines.withColumn("runs", words).drop("line"), 1
+    while length < width:  # a run of words is two shorter ones, the second shifted; a column of its own is computed once
         step = min(length, width - length)
-        count = F.greatest(F.size(runs) - step, F.lit(0))
-        runs = F.zip_with(F.slice(runs, F.lit(1), count), F.slice(runs, F.lit(1 + step), count), lambda x, y: F.xxhash64(x, y))
+        count = F.greatest(F.size("runs") - step, F.lit(0))
+        out = out.withColumn("runs", F.zip_with(F.slice("runs", F.lit(1), count), F.slice("runs", F.lit(1 + step), count), lambda x, y: F.xxhash64(x, y)))
         length += step
-    return lines.withColumn("words", words).select("doc_id", "line_no", F.sort_array(F.array_distinct(runs)).alias("tokens"))
+    return out.select("doc_id", "line_no", F.sort_array(F.array_distinct("runs")).alias("tokens"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
