@@ -222,10 +222,13 @@ def _tree_inputs(spark, sf):
 
 
 def coco_matches(spark, sf):
-    preds, gts, _ = _tree_inputs(spark, sf)
-    won = matching.coco_match(evaluate.mask_edges(preds, gts, extent=CANVAS))
-    return won.where("area = 0 AND bits % 2 = 1").select("image_id", "pred_id", "gt_id",
-                                                         F.col("ignored").cast("bigint").alias("ignored"))
+    preds, gts, ranked = _tree_inputs(spark, sf)
+    won = matching.coco_match(evaluate.mask_edges(preds, gts, ranked=ranked, extent=CANVAS))
+    reached = F.filter(F.sequence(F.lit(0), F.lit(len(matching.IOU_THRESHOLDS) - 1)),
+                       lambda t: F.call_function("shiftright", "bits", t).bitwiseAND(1) == 1)
+    return won.withColumn("thr", F.explode(reached)).select(
+        "image_id", *[F.col(c).cast("bigint").alias(c) for c in ("area", "thr")], "pred_id", "gt_id",
+        F.col("ignored").cast("bigint").alias("ignored"))
 
 
 def score_matches(spark, sf):
@@ -242,7 +245,7 @@ def overlap_matches(spark, sf):
 
 def _table(spark, sf):
     preds, gts, ranked = _tree_inputs(spark, sf)
-    bits, npig = evaluate.evaluate_masks(ranked, evaluate.mask_edges(preds, gts, extent=CANVAS), gts)
+    bits, npig = evaluate.evaluate_masks(ranked, evaluate.mask_edges(preds, gts, ranked=ranked, extent=CANVAS), gts)
     return precision.precision_table(precision.precision_steps(bits, npig), npig)
 
 
@@ -254,7 +257,7 @@ def precision_curve(spark, sf):
 
 def mask_ap(spark, sf):
     preds, gts, ranked = _tree_inputs(spark, sf)
-    out = evaluate.coco_metrics(ranked, evaluate.mask_edges(preds, gts, extent=CANVAS), gts)
+    out = evaluate.coco_metrics(ranked, evaluate.mask_edges(preds, gts, ranked=ranked, extent=CANVAS), gts)
     return out.select("metric", F.round("value", 9).alias("value"))
 
 
@@ -539,7 +542,8 @@ CASES = {
     "msk9_box_iou_pairs": (box_iou_pairs, oracle(
         f"WITH {PLAIN_MET} SELECT image_id, pred_id, gt_id, round({PLAIN_IOU}, 9) AS iou FROM met", "fx_pred", "fx_gt")),
     "mat1_coco_matching": (coco_matches, oracle(
-        f"{HEAD}{MASK_SIMS},{MATCHING} SELECT image_id, pred_id, gt_id, CAST(ign AS BIGINT) AS ignored FROM won WHERE ai = 0 AND ti = 0",
+        f"{HEAD}{MASK_SIMS},{MATCHING} SELECT image_id, CAST(ai AS BIGINT) AS area, CAST(ti AS BIGINT) AS thr, pred_id, gt_id, "
+        "CAST(ign AS BIGINT) AS ignored FROM won",
         "fx_pred", "fx_gt")),
     "mat2_score_matching": (score_matches, oracle(f"{SCORE_WON} SELECT image_id, pred_id, gt_id FROM won", "fx_pred", "fx_gt")),
     "mat3_overlap_matching": (overlap_matches, oracle(f"{IOU_WON} SELECT image_id, pred_id, gt_id FROM won", "fx_pred", "fx_gt")),

@@ -160,13 +160,18 @@ def _match_large(rows: DataFrame, limit: int) -> DataFrame:
 def cap_copies(preds: DataFrame, gts: DataFrame, geometry: list[str], group: list[str]) -> DataFrame:
     """Leaves out prediction copies that cannot match in one-to-one matching.
 
-    Copies of one prediction compete for the same annotations, so only as many of them as the fullest
-    image has annotations can ever match; the rest stay unmatched whatever happens. The result feeds
-    candidate search only, counts are still taken over all predictions.
+    Copies of one prediction compete for the same annotations, so only as many of them as their own group has
+    annotations can ever match; the rest stay unmatched whatever happens. A copy is a mask that is equal as a whole: `geometry`
+    names the columns of a slab, and a mask is the set of its slabs. The result feeds candidate search only, counts are still
+    taken over all predictions.
     """
-    most = gts.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
-    order = Window.partitionBy(*group, *geometry).orderBy(F.col("score").desc(), "pred_id")
-    return preds.withColumn("_copy", F.row_number().over(order)).where(F.col("_copy") <= int(most)).drop("_copy")
+    whole = F.array_sort(F.collect_set(F.struct(*geometry))).alias("_mask")
+    masks = preds.groupBy(*group, "pred_id").agg(F.first("score").alias("score"), whole)
+    order = Window.partitionBy(*group, "_mask").orderBy(F.col("score").desc(), "pred_id")
+    room = gts.groupBy(*group).agg(F.count_distinct("gt_id").alias("_room"))
+    able = (masks.withColumn("_copy", F.row_number().over(order)).join(room, group)
+            .where(F.col("_copy") <= F.col("_room")).select(*group, "pred_id"))
+    return preds.join(able, [*group, "pred_id"], "left_semi")
 
 
 def score_greedy_match(edges: DataFrame, group: list[str], limit: int = greedy.FOLD_LIMIT) -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from masklake.functions.bind import let
 
-NESTING = 3
 DEFAULT_SIZE = 2048
 
 # Normalised segmentation: kind is missing, malformed, polygons or rle.
@@ -48,6 +47,23 @@ def _unwrap(text: Column) -> Column:
         F.try_variant_get(F.element_at(m, F.lit("coco_annotations")), "$", "string")).otherwise(t)))
 
 
+def _innermost(text: Column) -> Column:
+    """The payload inside all nested ones.
+
+    A nested payload needs a key of its own, spelt out or with an escape, and some twenty characters, so the text bounds
+    the depth; a row stops being parsed at its first level that is not nested.
+    """
+    spelt = (F.length(text) - F.length(F.replace(text, F.lit("coco_annotations"), F.lit("")))) / 16
+    depth = F.coalesce(F.when(text.contains("\\u"), F.length(text) / 20).otherwise(spelt), F.lit(0)).cast("int")
+    start = F.struct(text.alias("text"), F.lit(False).alias("done"))
+
+    def step(acc: Column, _: Column) -> Column:
+        inner = let(_unwrap(acc["text"]), lambda t: F.struct(t.alias("text"), t.eqNullSafe(acc["text"]).alias("done")))
+        return F.when(acc["done"], acc).otherwise(inner)
+
+    return F.when(depth == 0, text).otherwise(F.aggregate(F.sequence(F.lit(1), depth), start, step, lambda acc: acc["text"]))
+
+
 def _classify(text: Column, v: Column, m: Column, items: Column) -> Column:
     inner = F.element_at(m, F.lit("annotations"))
     blank = text.isNull() | F.trim(text).isin("", "null")
@@ -68,11 +84,9 @@ def parse_payload(samples: DataFrame, payload: str = "coco_annotations") -> Data
     """Adds `annotations ARRAY<VARIANT>` and `parse_error` (NULL when readable); drops `payload`.
 
     Absent text, blanks and `null` are empty samples. Accepted are an object with `annotations`, an object
-    with a nested `coco_annotations` (text or decoded), one annotation object, or a list of objects.
+    with a nested `coco_annotations` (text or decoded, to any depth), one annotation object, or a list of objects.
     """
-    text = F.col(payload)
-    for _ in range(NESTING):
-        text = _unwrap(text)
+    text = _innermost(F.col(payload))
     parsed = let(text, lambda t: let(F.try_parse_json(t), lambda v: let(
         F.struct(as_map(v).alias("m"), as_list(v).alias("l")), lambda s: _classify(t, v, s["m"], s["l"]))))
     keep = [c for c in samples.columns if c != payload]

@@ -18,9 +18,11 @@ class ContractError(ValueError):
 
 def require(checks: DataFrame) -> None:
     """Raise when any row of `(check, ok, detail)` is not ok."""
-    failed = [f"{r['check']}: {r['detail']}" for r in checks.where("NOT ok").limit(20).collect()]
+    bad = checks.where("NOT ok")
+    failed = [f"{r['check']}: {r['detail']}" for r in bad.limit(20).collect()]
     if failed:
-        raise ContractError("; ".join(failed))
+        more = bad.count() - len(failed) if len(failed) == 20 else 0
+        raise ContractError("; ".join(failed) + (f"; and {more} more" if more else ""))
 
 
 def constraint_rows(df: DataFrame, checks: dict[str, tuple[Column, Column]]) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,4 +55,40 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.append((spark.sparkContext.applicationId, path))
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+#: Tables that `materialize` wrote and nobody discarded yet: (application, path).
+_written: list[tuple[str, str]] = []
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `materialize` returned and that no later result reads any more."""
+    paths = [t._written_path for t in tables]
+    for spark in {t.sparkSession for t in tables}:
+        _delete(spark, paths)
+    _written[:] = [w for w in _written if w[1] not in paths]
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Owner of one query's intermediate tables: those written inside are deleted at the end.
+
+    The query's result must be read or written before the block ends.
+    """
+    before = set(_written)
+    try:
+        yield
+    finally:
+        mine = [w for w in _written if w not in before and w[0] == spark.sparkContext.applicationId]
+        _delete(spark, [path for _, path in mine])
+        _written[:] = [w for w in _written if w not in mine]

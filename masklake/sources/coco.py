@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from masklake.session import materialize
 
 DOCUMENT = ("info MAP<STRING,STRING>, "
             "images ARRAY<STRUCT<id BIGINT, file_name STRING, width BIGINT, height BIGINT, source_split STRING, source_index BIGINT>>, "
@@ -19,8 +22,9 @@ def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
     samples = spark.read.parquet(path)
     chosen = samples.where(F.col("split") == split)
     if chosen.isEmpty():
-        known = [r[0] for r in samples.select("split").distinct().orderBy("split").limit(100).collect()]
-        raise ValueError(f"no split {split!r}; available: {known}")
+        names = samples.select("split").distinct()
+        known, n = [r[0] for r in names.orderBy("split").limit(100).collect()], names.count()
+        raise ValueError(f"no split {split!r}; available: {known}" + (f" and {n - len(known)} more" if n > len(known) else ""))
     return chosen
 
 
@@ -36,20 +40,36 @@ def read_coco(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return out
 
 
-def read_predictions(spark: SparkSession, path: str, images: DataFrame | None = None, schema: str = PREDICTION) -> DataFrame:
-    """A dump as rows with `pred_id` in dump order, optionally of the listed images only.
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Adds `pred_id`: the file's place among the sorted paths times 2 ** 40, plus the row's position in its file.
 
-    Parquet dumps written by `write_predictions` keep their ids. JSON lines are numbered per file and offset by
-    Spark, a JSON array by position.
+    Rows of one block of a file come in order, so a row's position is its distance from the block's first row plus the rows of
+    earlier blocks. Only files and blocks are numbered against each other, and the ids do not depend on how files are split.
+    """
+    read = materialize(rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                                   F.monotonically_increasing_id().alias("_at")), "dump")
+    blocks = read.groupBy("_file", "_block").agg(F.min("_at").alias("_from"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    placed = blocks.withColumns({"_before": F.coalesce(F.sum("_n").over(earlier), F.lit(0)),
+                                 "_place": F.dense_rank().over(Window.orderBy("_file")) - 1})
+    position = F.col("_at") - F.col("_from") + F.col("_before")
+    return (read.join(placed, ["_file", "_block"]).withColumn("pred_id", F.col("_place").cast("bigint") * F.lit(1 << 40) + position)
+            .drop("_file", "_block", "_at", "_from", "_n", "_before", "_place"))
+
+
+def read_predictions(spark: SparkSession, path: str | list[str], images: DataFrame | None = None, schema: str = PREDICTION) -> DataFrame:
+    """A dump of one or more files as rows with `pred_id` in dump order, optionally of the listed images only.
+
+    Parquet dumps written by `write_predictions` keep their ids. JSON arrays are read element by element and JSON lines line by
+    line; ids tell files apart and are the same in every run.
     """
-    if path.rstrip("/").endswith(".json"):
-        doc = spark.read.text(path, wholetext=True)
-        rows = doc.select(F.posexplode(F.from_json("value", f"ARRAY<STRUCT<{schema_fields(schema)}>>")).alias("pred_id", "p"))
-        preds = rows.select(F.col("pred_id").cast("bigint").alias("pred_id"), "p.*")
-    elif path.rstrip("/").endswith(".jsonl"):
-        preds = spark.read.schema(schema).json(path).withColumn("pred_id", F.monotonically_increasing_id())
+    first = (path if isinstance(path, str) else path[0]).rstrip("/")
+    if first.endswith(".json"):
+        preds = _numbered(spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path))
+    elif first.endswith(".jsonl"):
+        preds = _numbered(spark.read.schema(schema).json(path))
     else:
-        preds = spark.read.parquet(path)
+        preds = spark.read.parquet(*([path] if isinstance(path, str) else path))
     return preds if images is None else preds.join(images.select("image_id"), "image_id", "left_semi")
 
 
@@ -59,13 +79,17 @@ def schema_fields(ddl: str) -> str:
     return StructType.fromDDL(ddl).simpleString()[len("struct<"):-1]
 
 
-def read_raw_instances(spark: SparkSession, path: str, images: DataFrame | None = None) -> DataFrame:
-    """Raw instances from `{"instances": [...]}` or a bare list, numbered in file order."""
-    fields = schema_fields(RAW_INSTANCE)
-    doc = spark.read.text(path, wholetext=True)
-    listed = F.when(F.ltrim("value").startswith("["), F.from_json("value", f"ARRAY<STRUCT<{fields}>>")).otherwise(
-        F.from_json("value", f"STRUCT<instances: ARRAY<STRUCT<{fields}>>>")["instances"])
-    rows = doc.select(F.posexplode(listed).alias("pred_id", "p")).select(F.col("pred_id").cast("bigint").alias("pred_id"), "p.*")
+def read_raw_instances(spark: SparkSession, path: str | list[str], images: DataFrame | None = None) -> DataFrame:
+    """Raw instances from `{"instances": [...]}` documents or bare lists, numbered in file order.
+
+    A bare list is read element by element; a document with the key is one value and is parsed by one task.
+    """
+    nested = f"instances ARRAY<STRUCT<{schema_fields(RAW_INSTANCE)}>>, {RAW_INSTANCE}"
+    doc = spark.read.schema(nested).option("multiLine", True).json(path)
+    flat = [f.name for f in doc.schema.fields if f.name != "instances"]
+    one = F.array(F.struct(*flat))
+    items = doc.select(F.inline(F.when(F.col("instances").isNotNull(), F.col("instances")).otherwise(one)), F.col("_metadata"))
+    rows = _numbered(items)
     return rows if images is None else rows.join(images.select("image_id"), "image_id", "left_semi")
 
 

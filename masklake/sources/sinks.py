@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +34,15 @@ def write_provenance(spark: SparkSession, path: str, record: dict, preds: DataFr
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    """Replaces a report; readers that wait for `_SUCCESS` never see half of it."""
-    df.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").json(path)
+    """Replaces a report. The new one is written beside the old one, which goes only when the new one is complete."""
+    spark = df.sparkSession
+    fresh = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").json(fresh)
+    target, source = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, fresh))
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(target, True)
+    if not fs.rename(source, target):
+        raise OSError(f"{fresh} could not be renamed to {path}")
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
