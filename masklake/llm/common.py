@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from masklake.session import materialize
+from masklake.session import discard, materialize
 
 BATCH_BYTES = 4 << 20
 _CHUNK = 1 << 18
@@ -177,13 +177,16 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     star = down.select("u", "v", least.alias("w")).select(F.when(F.col("v") == F.col("w"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("w").alias("v"))
     star = materialize(star.distinct(), f"{label}-star")
     both = materialize(star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), f"{label}-edges")
-    labels = materialize(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label"))
+    discard(star)
+    labels = old = materialize(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label"))
                          .select(F.col("u").alias("node"), "label"), f"{label}-labels")
     while True:
         near = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("label").alias("near"))
         step = labels.join(near, labels["node"] == near["u"]).select("node", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
         jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
         new = materialize(step.join(jump, "mid").select("node", F.least("mid", "far").alias("label"), "old"), f"{label}-labels")
-        labels = new.select("node", "label")
-        if new.where("label != old").isEmpty():
+        done = new.where("label != old").isEmpty()
+        discard(old, *([both] if done else []))
+        old, labels = new, new.select("node", "label")
+        if done:
             return labels

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from masklake.llm.common import components
-from masklake.session import materialize
+from masklake.session import discard, materialize
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -68,23 +68,28 @@ def removed_lines(docs: DataFrame, width: int = WIDTH, threshold: float = THRESH
     """
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = F.size("tokens")
-    screened = token_sets(_lines(docs), width).select(
+    screened = materialize(token_sets(_lines(docs), width).select(
         "doc_id", "line_no", F.xxhash64("tokens").alias("d1"), F.xxhash64("tokens", F.lit(width)).alias("d2"),
-        F.slice("tokens", F.lit(1), _prefix_length(n, threshold)).alias("prefix"))
-    screened = materialize(screened, "line-prefixes").where(F.size("prefix") > 0)
+        F.slice("tokens", F.lit(1), _prefix_length(n, threshold)).alias("prefix"), F.monotonically_increasing_id().alias("line")),
+        "line-prefixes").where(F.size("prefix") > 0)
     place = F.struct("doc_id", "line_no")
-    firsts = materialize(screened.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("copies")), "line-firsts")
-
-    tokens = screened.select("d1", F.explode("prefix").alias("token"))
-    shared = tokens.groupBy("token").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).where("low != high").select("token")
-    held = tokens.join(_small(materialize(shared, "shared-tokens")), "token", "left_semi").select("d1").distinct()
-    likely = materialize(firsts.join(held, "d1", "left_semi").select("d1", "d2", "first.*"), "likely-lines")
+    firsts = screened.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "line_no", "line")).alias("first"), F.count("*").alias("copies"))
+    repeated = materialize(firsts.where("copies > 1").drop("copies"), "repeated-lines")
+    # of equal lines only the first goes on, so that a token met twice is met in two sets
+    single = screened.join(_small(repeated), ["d1", "d2"], "left").where("first IS NULL OR first.line = line")
+    tokens = single.select("line", F.explode("prefix").alias("token"))
+    shared = materialize(tokens.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token"), "shared-tokens")
+    held = materialize(tokens.join(_small(shared), "token", "left_semi").select("line").distinct(), "held-lines")
+    discard(shared)
+    likely = screened.join(_small(held), "line", "left_semi").select("doc_id", "line_no")
     wanted = materialize(likely.groupBy("doc_id").agg(F.collect_set("line_no").alias("wanted")), "likely-documents")
+    discard(held)
     again = docs.join(_small(wanted), "doc_id").select(
         "doc_id", F.explode(F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line_no"), x.alias("line"))),
                                      lambda x: F.array_contains("wanted", x["line_no"]))).alias("x")).select("doc_id", "x.*")
     sets = token_sets(again, width).dropDuplicates(["doc_id", "line_no"])
-    sets = materialize(sets.withColumn("id", F.xxhash64("doc_id", "line_no", F.lit(width))), "likely-sets")
+    sets = materialize(sets.withColumn("id", F.monotonically_increasing_id()), "likely-sets")
+    discard(wanted)
 
     each = sets.select("id", F.explode("tokens").alias("token"))
     rarity = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
@@ -96,6 +101,7 @@ def removed_lines(docs: DataFrame, width: int = WIDTH, threshold: float = THRESH
     ordered = ordered.select("id", "doc_id", "line_no", "n", "lone", F.transform("t", lambda t: t["token"]).alias("tokens"),
                              F.transform(F.slice("t", F.lit(1), front), lambda t: t["token"]).alias("prefix"))
     ordered = materialize(ordered.where(F.size("prefix") > 0), "ordered-sets")
+    discard(sets)
 
     posted = ordered.select("id", F.explode("prefix").alias("token"))
     lead = posted.groupBy("token").agg(F.min("id").alias("lead"), F.count("*").alias("m")).where("m > 1")
@@ -128,8 +134,11 @@ def removed_lines(docs: DataFrame, width: int = WIDTH, threshold: float = THRESH
     gone = gone.groupBy("part", "block").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
     gone = materialize(gone.select(F.explode("gone").alias("g")).select("g.*", F.lit(True).alias("similar")), "similar-lines")
 
-    answer = firsts.select("d1", "d2", "copies", "first.*").join(_small(gone), ["doc_id", "line_no"], "left").where("copies > 1 or similar")
-    answer = materialize(answer.select("d1", "d2", F.struct("doc_id", "line_no").alias("first"), F.coalesce("similar", F.lit(False)).alias("similar")), "removed-sets")
+    discard(blocks, ordered)
+    # the first of equal lines goes if an earlier set is similar, the others go anyway
+    similar_ = screened.join(_small(gone), ["doc_id", "line_no"]).select("d1", "d2", "similar")
+    answer = materialize(repeated.select("d1", "d2", F.struct("first.doc_id", "first.line_no").alias("first")).join(similar_, ["d1", "d2"], "full"),
+                         "removed-sets")
     return (screened.select("doc_id", "line_no", "d1", "d2").join(_small(answer), ["d1", "d2"])
             .where(F.col("similar") | (place != F.col("first"))).select("doc_id", "line_no"))
 

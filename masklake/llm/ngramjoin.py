@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from masklake.llm.common import WHITE, Words, bound_batches, components, id_and_text, mix, pieces, runs, slots
-from masklake.session import materialize
+from masklake.session import discard, materialize
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -246,19 +246,23 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
     edges = _in_blocks(held, "key", F.ceil(F.col("m") / BLOCK)).select("key", "low", "high", "block", "rep", "size", "values")
     edges = edges.mapInArrow(_prune(threshold, least), "u bigint, v bigint")
     parts = materialize(components(edges, "candidates").select(F.col("node").alias("rep"), F.col("label").alias("part")), "parts")
+    discard(reps)
     texts = rows.withColumnRenamed("doc_id", "rep").join(parts, "rep")
     texts = materialize(texts.dropDuplicates(["rep"]), "part-texts")
     size = texts.groupBy("part").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).alias("blocks"))
     dealt = _in_blocks(texts.join(size, "part"), "part", F.col("blocks")).select("part", "low", "high", "block", "rep", "text")
     found = materialize(dealt.mapInArrow(_verify(width, threshold), "rep bigint, links bigint, root bigint"), "links")
+    discard(texts)
     links = found.groupBy("rep").agg(F.sum("links").alias("n_links"))
     classes = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")), "classes")
     answer = sets.join(links, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left").select(
         "size", "d1", "d2", F.col("rep").alias("rep_id"), F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
-    named = signed.select("doc_id", "size", "d1", "d2").join(materialize(answer, "answer"), ["size", "d1", "d2"], "left").select(
+    answer = materialize(answer, "answer")
+    named = signed.select("doc_id", "size", "d1", "d2").join(answer, ["size", "d1", "d2"], "left").select(
         "doc_id", F.coalesce("rep_id", "doc_id").alias("rep_id"), F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
     named = materialize(named, "named")
+    discard(signed, sets, found, answer)
     sizes = named.groupBy("class_id").agg(F.count("*").alias("class_size"))
     alone = every.where("doc_id is null").select(none.alias("doc_id"), none.alias("rep_id"), none.alias("class_id"),
                                                  F.lit(1).cast("bigint").alias("class_size"), F.lit(0).cast("bigint").alias("n_links"))
