@@ -72,11 +72,18 @@ def _delete(spark: SparkSession, paths: list[str]) -> None:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables that `materialize` returned and that no later result reads any more."""
+    """Delete tables that `materialize` returned and that no later result reads any more.
+
+    The driver's JVM then collects garbage, because Spark removes the shuffle files of finished jobs only when the driver has
+    forgotten the jobs.
+    """
+    if not tables:
+        return
     paths = [t._written_path for t in tables]
     for spark in {t.sparkSession for t in tables}:
         _delete(spark, paths)
     _written[:] = [w for w in _written if w[1] not in paths]
+    tables[0].sparkSession._jvm.System.gc()
 
 
 @contextmanager
