@@ -17,13 +17,22 @@ def _parsed(spark, sf):
     return parsing.parse_payload(samples)
 
 
-def _rows(spark, sf):
-    rows = materialize(parsing.annotation_rows(_parsed(spark, sf)), "annotations")
-    return rows.withColumns({"width": SIDE, "height": SIDE})
+def _stored(spark, sf):
+    """Samples and annotations of one parse, written once."""
+    return materialize(parsing.annotation_rows(_parsed(spark, sf), keep_empty=True), "annotations")
 
 
-def _checked(spark, sf):
-    return validation.with_issues(_rows(spark, sf))
+def _rows(spark, sf, stored=None):
+    stored = _stored(spark, sf) if stored is None else stored
+    return stored.where("local_index IS NOT NULL").drop("parse_error").withColumns({"width": SIDE, "height": SIDE})
+
+
+def _checked(spark, sf, stored=None):
+    return validation.with_issues(_rows(spark, sf, stored))
+
+
+def _parse_errors(stored, *columns):
+    return parsing.samples_of(stored, *KEYS, "parse_error").where("parse_error IS NOT NULL").select(*columns, F.lit("parse_error").alias("code"))
 
 
 def _cleaned(spark, sf, collapse=True):
@@ -66,17 +75,22 @@ def rle_checks(spark, sf):
 
 def category_area(spark, sf):
     d = spark_view(spark, sf, "fx_dirty")
-    codes = F.filter(F.array(F.when(F.col("category_id").isNull(), F.lit("missing_category_id")),
-                             F.when(F.col("area") <= 0, F.lit("area_non_positive"))), lambda c: c.isNotNull())
-    return d.select("row_key", F.explode(codes).alias("code"))
+    # the columns of a parsed annotation; box and segmentation are sound, so only category and area can fail
+    rows = d.select("row_key", F.lit(512).cast("bigint").alias("width"), F.lit(512).cast("bigint").alias("height"),
+                    F.col("category_id").isNotNull().alias("has_category"), F.lit(True).alias("has_area"), F.lit(True).alias("area_number"),
+                    F.col("area").cast("double").alias("area"), F.lit(4).alias("bbox_len"), F.lit(True).alias("bbox_numeric"),
+                    F.array(*[F.lit(v).cast("double") for v in (1, 1, 2, 2)]).alias("bbox"),
+                    F.from_json(F.lit('{"kind": "rle", "has_counts": true}'), parsing.SEGMENTATION).alias("segmentation"))
+    return validation.issue_rows(validation.with_issues(rows), ["row_key"]).select("row_key", "code")
 
 
 REPORT = ["annotations", "valid", "invalid", "bbox_valid", "bbox_invalid", "segmentation_valid",
           "segmentation_invalid", "crowd", "issues"]
 
 
-def _report(spark, sf):
-    return validation.sample_report(_parsed(spark, sf), _checked(spark, sf), KEYS)
+def _report(spark, sf, stored=None):
+    stored = _stored(spark, sf) if stored is None else stored
+    return validation.sample_report(parsing.samples_of(stored, *KEYS, "parse_error"), _checked(spark, sf, stored), KEYS)
 
 
 def sample_reports(spark, sf):
@@ -89,18 +103,17 @@ def split_reports(spark, sf):
 
 
 def issue_histogram(spark, sf):
-    rows = validation.issue_rows(_checked(spark, sf), ["split"]).select("split", "code")
-    errors = _parsed(spark, sf).where("parse_error IS NOT NULL").select("split", F.lit("parse_error").alias("code"))
-    return validation.histogram(rows.unionByName(errors), "split", "code")
+    stored = _stored(spark, sf)
+    rows = validation.issue_rows(_checked(spark, sf, stored), ["split"]).select("split", "code")
+    return validation.histogram(rows.unionByName(_parse_errors(stored, "split")), "split", "code")
 
 
 def bad_examples(spark, sf):
-    report = _report(spark, sf).where("split = 'train'")
-    issues = validation.issue_rows(_checked(spark, sf), [*KEYS, "local_index"])
-    errors = (_parsed(spark, sf).where("parse_error IS NOT NULL")
-              .select(*KEYS, F.lit(0).alias("local_index"), F.lit(0).alias("issue_index"), F.lit("parse_error").alias("code")))
-    out = validation.bad_examples(report, issues.unionByName(errors), KEYS, "sample_index")
-    return out.select("sample_index", F.col("pos").cast("bigint").alias("pos"), "code")
+    stored = _stored(spark, sf)
+    issues = validation.issue_rows(_checked(spark, sf, stored), [*KEYS, "local_index"])
+    errors = _parse_errors(stored, *KEYS, F.lit(0).alias("local_index"), F.lit(0).alias("issue_index"))
+    out = validation.bad_examples(_report(spark, sf, stored), issues.unionByName(errors), KEYS, "sample_index", split="split")
+    return out.select("split", "sample_index", F.col("pos").cast("bigint").alias("pos"), "code")
 
 
 def category_histogram(spark, sf):
@@ -249,10 +262,11 @@ CASES = {
         count(*) FILTER (WHERE annotations = 0) AS empty_samples FROM report GROUP BY split""")),
     "val6_issue_histogram": (issue_histogram, _o("""SELECT split, code, count(*) AS n FROM (SELECT split, code FROM issues
         UNION ALL SELECT split, 'parse_error' FROM errors) q GROUP BY 1, 2""")),
-    "top5_first_bad_examples": (bad_examples, _o("""SELECT sample_index, pos, code FROM (
-        SELECT sample_index, code, row_number() OVER (PARTITION BY sample_index ORDER BY local_index, o) AS pos FROM (
-          SELECT sample_index, local_index, o, code FROM issues UNION ALL SELECT sample_index, 0, 0, 'parse_error' FROM errors) u
-        WHERE sample_index IN (SELECT sample_index FROM report WHERE issues > 0 AND split = 'train' ORDER BY sample_index LIMIT 20)) q WHERE pos <= 5""")),
+    "top5_first_bad_examples": (bad_examples, _o("""SELECT split, sample_index, pos, code FROM (
+        SELECT split, sample_index, code, row_number() OVER (PARTITION BY split, sample_index ORDER BY local_index, o) AS pos FROM (
+          SELECT split, sample_index, local_index, o, code FROM issues UNION ALL SELECT split, sample_index, 0, 0, 'parse_error' FROM errors) u
+        WHERE (split, sample_index) IN (SELECT (split, sample_index) FROM (SELECT split, sample_index, row_number() OVER (PARTITION BY split ORDER BY sample_index) AS k
+          FROM report WHERE issues > 0) r WHERE k <= 20)) q WHERE pos <= 5""")),
     "sta3_category_histogram": (category_histogram, _o("""SELECT split, CASE WHEN j % 29 = 0 THEN 'missing' WHEN j % 31 = 0 THEN 'None'
         ELSE CAST(original_category_id AS STRING) END AS category_text, CAST(crowd AS BIGINT) AS iscrowd, count(*) AS n FROM anns GROUP BY 1, 2, 3""")),
     "cln1_clipped_polygons": (clipped_polygons, _o("""SELECT sample_index, local_index,

@@ -176,6 +176,16 @@ def ap_oracle(sims: str, with_recall: bool = False, rename: str = "") -> str:
                   f"round(coalesce(value, -1.0), 9) AS value FROM ({rows}) r", "fx_pred", "fx_gt")
 
 
+def _ap_only(sims: str) -> str:
+    """Unrounded mask or band AP as a query that can stand inside another one."""
+    return oracle(f"{HEAD}{sims},{MATCHING},{CURVE}\n SELECT coalesce(avg(pr) FILTER (WHERE ai = 0), -1.0) AS v FROM lvl", "fx_pred", "fx_gt")
+
+
+BAND_SWEEP_SQL = "SELECT band_px, round(v, 9) AS boundary_ap, round(CASE WHEN m > 0 THEN v / m ELSE 'NaN'::DOUBLE END, 9) AS ratio_to_mask_ap FROM (" + \
+    " UNION ALL ".join(f"SELECT CAST({b} AS BIGINT) AS band_px, v FROM ({_ap_only(band_sims(f'CAST({b} AS BIGINT)', f'CAST({b} AS BIGINT)'))}) q{b}"
+                       for b in boundary.SWEEP_BANDS) + f") b CROSS JOIN (SELECT v AS m FROM ({_ap_only(MASK_SIMS)}) q) w"
+
+
 # ---------------------------------------------------------------- queries
 
 def _boxes(spark, sf):
@@ -345,20 +355,23 @@ def recall_diagnostics(spark, sf):
     return out.select("section", "bin", "metric", F.round("value", 9).alias("value"))
 
 
+RECALL_IOUS = [0.3, 0.5, 0.75]
+
+
+def _coverage(spark, sf):
+    _, preds, gts = _recall_inputs(spark, sf)
+    edges = matching.mask_pairs(preds, gts, floor=0.29, group=["image_id"], extent=CANVAS)
+    return recall.coverage_by_iou(gts, edges, RECALL_IOUS, threshold=0.315)
+
+
+def coverage_by_iou(spark, sf):
+    return _coverage(spark, sf).select("match_iou", "covered", "total_gt", F.round("coverage", 9).alias("coverage"))
+
+
 def localization_split(spark, sf):
     """Coverage at a loose and a strict IoU: what is never proposed and what is only imprecise."""
-    images, preds, gts = _recall_inputs(spark, sf)
-    edges = matching.mask_pairs(preds, gts, floor=0.29, group=["image_id"], extent=CANVAS)
-    single = lambda v: F.lit(v).cast("float")
-    usable = edges.where(F.col("score").cast("float") >= single(0.315)).groupBy("image_id", "gt_id").agg(
-        F.max(F.col("iou").cast("float")).alias("best"))
-    total = gts.agg(F.count(F.lit(1)).alias("n"))
-    c = (usable.agg(F.count_if(F.col("best") >= single(0.3)).alias("lo"), F.count_if(F.col("best") >= single(0.75)).alias("hi"))
-         .join(total.hint("broadcast"))
-         .select((F.col("lo") / F.col("n")).alias("lo"), (F.col("hi") / F.col("n")).alias("hi")))
-    return c.select(F.round("lo", 9).alias("coverage_low"), F.round("hi", 9).alias("coverage_primary"),
-                    F.round(F.col("lo") - F.col("hi"), 9).alias("localization_loss"),
-                    F.round(1 - F.col("lo"), 9).alias("non_proposal_floor"))
+    out = recall.localization_split(_coverage(spark, sf), 0.3, 0.75)
+    return out.select(*[F.round(c, 9).alias(c) for c in out.columns])
 
 
 def gated(spark, sf):
@@ -558,7 +571,7 @@ CASES = {
             round(sqrt(CAST(max(width) * max(width) + max(height) * max(height) AS DOUBLE)), 9) AS diagonal, band AS band_px,
             round(band / sqrt(CAST(max(width) * max(width) + max(height) * max(height) AS DOUBLE)), 9) AS ratio
             FROM fx_images CROSS JOIN ({SWEEP}) b GROUP BY band""", "fx_images")),
-    "agg6_band_sweep": (boundary_ap_sweep, None),
+    "agg6_band_sweep": (boundary_ap_sweep, BAND_SWEEP_SQL),
     "agg7_retention": (retention, RETENTION_SQL),
     "bio1_instance_boundary_iou": (instance_biou, oracle(
         f"""{IOU_WON}, wide AS (SELECT m.*, {_round_even('pa')} AS pd, {_round_even('ga')} AS gd FROM met m JOIN won USING (image_id, pred_id, gt_id)),
@@ -579,6 +592,12 @@ CASES = {
                CAST(tp AS BIGINT) AS tp, CAST(kept - tp AS BIGINT) AS fp, CAST(n - tp AS BIGINT) AS fn, CAST(n AS BIGINT) AS total_gt
         FROM s ORDER BY f1 DESC, k LIMIT 1""", "fx_pred", "fx_gt", "fx_images")),
     "rec1_recall_diagnostics": (recall_diagnostics, oracle(REC_WON + REC_FACTS, "fx_pred", "fx_gt", "fx_images")),
+    "rec2_coverage_by_iou": (coverage_by_iou, oracle(f"""WITH {PLAIN_MET},
+        best AS (SELECT image_id, gt_id, max(CAST({MASK_IOU} AS FLOAT)) AS b FROM met WHERE CAST(score AS FLOAT) >= CAST(0.315 AS FLOAT) GROUP BY 1, 2),
+        n AS (SELECT count(*) AS n FROM fx_gt)
+        SELECT t AS match_iou, (SELECT count(*) FROM best WHERE b >= CAST(t AS FLOAT)) AS covered, n AS total_gt,
+          round((SELECT count(*) FROM best WHERE b >= CAST(t AS FLOAT)) / CAST(n AS DOUBLE), 9) AS coverage
+        FROM n CROSS JOIN (SELECT unnest([{', '.join(f'{t}::DOUBLE' for t in RECALL_IOUS)}]) AS t) i""", "fx_pred", "fx_gt")),
     "rec2_localization_split": (localization_split, oracle(f"""WITH {PLAIN_MET},
         best AS (SELECT image_id, gt_id, max(CAST({MASK_IOU} AS FLOAT)) AS b FROM met WHERE CAST(score AS FLOAT) >= CAST(0.315 AS FLOAT) GROUP BY 1, 2),
         c AS (SELECT count(*) FILTER (WHERE b >= CAST(0.3 AS FLOAT)) AS lo, count(*) FILTER (WHERE b >= CAST(0.75 AS FLOAT)) AS hi FROM best),

@@ -77,7 +77,7 @@ def gate_verdicts(spark, sf):
     m = spark_view(spark, sf, "fx_metrics")
     criteria = _criteria(spark, sf).where("declaration = 1").drop("declaration")
     out = runs.verdicts(runs.deltas(m, "run_1"), criteria)
-    return out.select("run", "role", "metric", r9("delta"), "minimum_delta", (F.round("delta", 9) >= F.col("minimum_delta")).alias("passed"))
+    return out.select("run", "role", "metric", r9("delta"), "minimum_delta", "passed")
 
 
 def _log(spark, sf):
@@ -160,7 +160,7 @@ CASES = {
     "gate3_declaration_rules": (declaration_rules, """SELECT o_orderkey AS declaration, unnest(['status is as declared', 'approval time is valid', 'eval_sha256 is SHA-256']) AS "check",
         unnest([o_orderkey % 3 <> 0, o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0, o_orderkey % 11 <> 0]) AS ok FROM orders"""),
     "gate4_verdicts": (gate_verdicts, oracle("WITH " + CRIT + """ SELECT m.run, role, m.metric, round(m.value - b.value, 9) AS delta, minimum_delta,
-        round(m.value - b.value, 9) >= minimum_delta AS passed FROM fx_metrics m JOIN fx_metrics b ON b.run = 'run_1' AND b.metric = m.metric
+        m.value - b.value >= minimum_delta AS passed FROM fx_metrics m JOIN fx_metrics b ON b.run = 'run_1' AND b.metric = m.metric
         JOIN crit ON crit.metric = m.metric AND declaration = 1""", "fx_metrics")),
     "log1_merged_logs": (merged_log, oracle("WITH " + MERGED + " SELECT run, name, epoch, source_priority, value, conflict FROM merged", "fx_metric_log")),
     "log2_ledger_summary": (ledger, """SELECT event_type AS action, count(*) AS entries, count(DISTINCT day(ts)) AS epochs, CAST(max(day(ts)) AS BIGINT) AS highest_epoch

@@ -120,15 +120,23 @@ def segmentation_struct(v: Column) -> Column:
         F.try_variant_get(counts, "$", "array<bigint>").alias("runs"))
 
 
-def annotation_rows(parsed: DataFrame) -> DataFrame:
+def samples_of(rows: DataFrame, *columns: str) -> DataFrame:
+    """One row per sample from `annotation_rows(..., keep_empty=True)`."""
+    return rows.where("local_index IS NULL OR local_index = 0").select(*columns)
+
+
+def annotation_rows(parsed: DataFrame, keep_empty: bool = False) -> DataFrame:
     """One typed row per annotation of every readable sample.
 
+    With `keep_empty` a sample without any, or an unreadable one, keeps one row whose `local_index` is NULL, and
+    `parse_error` stays, so that one stored table serves samples and annotations alike.
+
     Adds `local_index, raw_id, has_category, category_text, category_id, bbox, bbox_len, bbox_numeric,
     has_area, area_number, area, iscrowd, segmentation, segmentation_is_empty_list`.
     """
-    rows = (parsed.where("parse_error IS NULL").drop("parse_error")
-            .select("*", F.posexplode("annotations").alias("local_index", "_a")).drop("annotations")
-            .withColumn("_m", as_map(F.col("_a"))))
+    readable = parsed if keep_empty else parsed.where("parse_error IS NULL").drop("parse_error")
+    exploded = (F.posexplode_outer if keep_empty else F.posexplode)("annotations").alias("local_index", "_a")
+    rows = readable.select("*", exploded).drop("annotations").withColumn("_m", as_map(F.col("_a")))
     field = lambda key: F.element_at("_m", F.lit(key))
     text = lambda key: F.try_variant_get(field(key), "$", "string")
     present = lambda key: F.map_contains_key("_m", F.lit(key))

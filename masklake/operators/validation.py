@@ -104,12 +104,17 @@ def histogram(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def bad_examples(report: DataFrame, issues: DataFrame, keys: list[str], order: str, limit: int = 20,
-                 per_sample: int = 5) -> DataFrame:
-    """The first issues of the first bad samples: `limit` samples, `per_sample` issues each.
+                 per_sample: int = 5, split: str | None = None) -> DataFrame:
+    """The first issues of the first bad samples: `limit` samples (of each split), `per_sample` issues each.
 
     `issues(keys, local_index, issue_index, code)`.
     """
-    first = report.where("issues > 0").orderBy(order).limit(limit).select(*keys)
+    bad = report.where("issues > 0")
+    if split is None:
+        first = bad.orderBy(order).limit(limit).select(*keys)
+    else:
+        place = F.row_number().over(Window.partitionBy(split).orderBy(order))
+        first = bad.select(*keys, place.alias("_place")).where(F.col("_place") <= limit).select(*keys)
     rank = Window.partitionBy(*keys).orderBy("local_index", "issue_index")
     return (issues.join(first, keys, "left_semi").withColumn("pos", F.row_number().over(rank))
             .where(F.col("pos") <= per_sample).select(*keys, "pos", "code"))

@@ -40,6 +40,12 @@ def fold_split(images: DataFrame, annotations: DataFrame, fold: int) -> tuple[Da
     return placed, annotations.join(kept.select("image_id", "part"), "image_id")
 
 
+def fold_checks(placed: DataFrame) -> DataFrame:
+    """A split must leave images on both sides, as `(check, ok, detail)`."""
+    n = placed.agg(F.count_if(F.col("part") == "val").alias("val"), F.count_if(F.col("part") == "train").alias("train"))
+    return constraint_rows(n, {"val is not empty": (F.col("val") > 0, F.col("val")), "train is not empty": (F.col("train") > 0, F.col("train"))})
+
+
 def fold_counts(placed: DataFrame, annotations: DataFrame) -> DataFrame:
     """Images and annotations per part, excluded images as part `excluded`."""
     anns = annotations.groupBy("part").agg(F.count(F.lit(1)).alias("annotations"))
@@ -71,8 +77,28 @@ def view_checks(images: DataFrame, annotations: DataFrame) -> DataFrame:
 
 
 def class_split(annotations: DataFrame, keep: int) -> DataFrame:
-    """Ground truth in which only `keep` is scored; the other class becomes crowd and is thereby ignored."""
-    return annotations.withColumn("iscrowd", F.when(F.col("original_category_id") == keep, F.col("iscrowd")).otherwise(F.lit(1)))
+    """Ground truth in which only `keep` is scored; the other class becomes crowd and is thereby ignored.
+
+    An unknown class and a missing column are refused at once, an annotation without a class when it is met.
+    """
+    if keep not in LABELS.values():
+        raise ContractError(f"unknown class {keep}; known: {sorted(LABELS.items())}")
+    if "original_category_id" not in annotations.columns:
+        raise ContractError("annotations have no original_category_id; the split needs the category-preserving view")
+    original = F.col("original_category_id")
+    crowd = F.when(original.isNull(), F.raise_error(F.lit("an annotation has no original_category_id"))).when(
+        original == keep, F.col("iscrowd")).otherwise(F.lit(1))
+    return annotations.withColumn("iscrowd", crowd)
+
+
+def class_split_checks(annotations: DataFrame, keep: int) -> DataFrame:
+    """What a class split demands, as `(check, ok, detail)`: annotations, a class on each, and scored ones of the kept class."""
+    c = F.col("original_category_id")
+    n = annotations.agg(F.count(F.lit(1)).alias("n"), F.count_if(c.isNull()).alias("none"),
+                        F.count_if((c == keep) & (F.col("iscrowd") == 0)).alias("kept"))
+    return constraint_rows(n, {"there are annotations": (F.col("n") > 0, F.col("n")),
+                               "every annotation has a class": (F.col("none") == 0, F.col("none")),
+                               "the kept class has scored annotations": (F.col("kept") > 0, F.col("kept"))})
 
 
 def class_split_counts(annotations: DataFrame, keep: int) -> DataFrame:
