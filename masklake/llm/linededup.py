@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from masklake.llm.common import components
-from masklake.session import discard, materialize
+from masklake.session import discard, forget, materialize
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -68,10 +68,11 @@ def removed_lines(docs: DataFrame, width: int = WIDTH, threshold: float = THRESH
     """
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = F.size("tokens")
-    screened = materialize(token_sets(_lines(docs), width).select(
+    written = materialize(token_sets(_lines(docs), width).select(
         "doc_id", "line_no", F.xxhash64("tokens").alias("d1"), F.xxhash64("tokens", F.lit(width)).alias("d2"),
         F.slice("tokens", F.lit(1), _prefix_length(n, threshold)).alias("prefix"), F.monotonically_increasing_id().alias("line")),
-        "line-prefixes").where(F.size("prefix") > 0)
+        "line-prefixes")
+    screened = written.where(F.size("prefix") > 0)
     place = F.struct("doc_id", "line_no")
     firsts = screened.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "line_no", "line")).alias("first"), F.count("*").alias("copies"))
     repeated = materialize(firsts.where("copies > 1").drop("copies"), "repeated-lines")
@@ -80,7 +81,9 @@ def removed_lines(docs: DataFrame, width: int = WIDTH, threshold: float = THRESH
     tokens = single.select("line", F.explode("prefix").alias("token"))
     shared = materialize(tokens.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token"), "shared-tokens")
     held = materialize(tokens.join(_small(shared), "token", "left_semi").select("line").distinct(), "held-lines")
-    discard(shared)
+    # the prefixes are used up; what is needed of them is a fraction of their size
+    screened = materialize(screened.select("doc_id", "line_no", "line", "d1", "d2"), "line-digests")
+    discard(shared, written)
     likely = screened.join(_small(held), "line", "left_semi").select("doc_id", "line_no")
     wanted = materialize(likely.groupBy("doc_id").agg(F.collect_set("line_no").alias("wanted")), "likely-documents")
     discard(held)
@@ -92,7 +95,8 @@ def removed_lines(docs: DataFrame, width: int = WIDTH, threshold: float = THRESH
     discard(wanted)
 
     each = sets.select("id", F.explode("tokens").alias("token"))
-    rarity = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    rarity = materialize(each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "token-rarity")
+    forget(docs.sparkSession)
     # tokens of one set alone come first in its order and are in no intersection: their number says all
     common = each.join(rarity, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
     ordered = common.join(sets.select("id", "doc_id", "line_no", F.size("tokens").alias("n")), "id")
@@ -101,7 +105,7 @@ def removed_lines(docs: DataFrame, width: int = WIDTH, threshold: float = THRESH
     ordered = ordered.select("id", "doc_id", "line_no", "n", "lone", F.transform("t", lambda t: t["token"]).alias("tokens"),
                              F.transform(F.slice("t", F.lit(1), front), lambda t: t["token"]).alias("prefix"))
     ordered = materialize(ordered.where(F.size("prefix") > 0), "ordered-sets")
-    discard(sets)
+    discard(sets, rarity)
 
     posted = ordered.select("id", F.explode("prefix").alias("token"))
     lead = posted.groupBy("token").agg(F.min("id").alias("lead"), F.count("*").alias("m")).where("m > 1")
