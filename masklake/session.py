@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -71,19 +72,20 @@ def _delete(spark: SparkSession, paths: list[str]) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that `materialize` returned and that no later result reads any more.
+def forget(spark: SparkSession) -> None:
+    """Let the driver's JVM collect garbage: Spark removes a finished job's shuffle files only once the driver has forgotten it."""
+    gc.collect()
+    spark._jvm.System.gc()
 
-    The driver's JVM then collects garbage, because Spark removes the shuffle files of finished jobs only when the driver has
-    forgotten the jobs.
-    """
-    if not tables:
-        return
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `materialize` returned and that no later result reads any more, and `forget` finished jobs."""
     paths = [t._written_path for t in tables]
     for spark in {t.sparkSession for t in tables}:
         _delete(spark, paths)
     _written[:] = [w for w in _written if w[1] not in paths]
-    tables[0].sparkSession._jvm.System.gc()
+    for spark in {t.sparkSession for t in tables}:
+        forget(spark)
 
 
 @contextmanager
