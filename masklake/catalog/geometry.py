@@ -62,9 +62,7 @@ def batch_plan(spark, sf):
 
 
 def batch_counts(spark, sf):
-    """Batches here are fixed by id so that the counts have an oracle."""
-    plan = spark_view(spark, sf, "fx_images").select("image_id", F.floor(F.col("image_id") / 8).alias("batch_id"))
-    out = views.batch_counts(plan, views.prompt_pairs(spark_view(spark, sf, "fx_images"), spark_view(spark, sf, "fx_gt")))
+    out = views.batch_counts(batch_plan(spark, sf), views.prompt_pairs(spark_view(spark, sf, "fx_images"), spark_view(spark, sf, "fx_gt")))
     return out.select(*[big(c) for c in out.columns])
 
 
@@ -268,6 +266,21 @@ def d4_invariants(spark, sf):
     return stats.d4_invariants(s, 600, CANVAS)
 
 
+PLAN5 = """plan AS (SELECT image_id, p // 8 AS group_id, p // 4 AS batch_id, p % 4 AS slot FROM (
+          SELECT image_id, row_number() OVER (ORDER BY md5(concat_ws(':', image_id, 42, 0)), image_id) - 1 AS p, count(*) OVER () AS n FROM fx_images) q
+          WHERE p < n // 8 * 8)"""
+
+
+def _draw(op: str) -> str:
+    return f"(CAST('0x' || substr(md5(concat_ws(':', image_id, 0, '{op}')), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE)"
+
+
+AUGMENT = f"""drawn AS (SELECT image_id, width, height, least(CAST(floor({_draw('crop_w')} * 65) AS BIGINT) + 224, width) AS cw,
+            least(CAST(floor({_draw('crop_h')} * 65) AS BIGINT) + 224, height) AS ch, {_draw('vflip')} < 0.5 AS vflip,
+            CASE WHEN {_draw('turn')} < 0.75 THEN CAST(floor({_draw('quarter')} * 3) AS BIGINT) + 1 ELSE 0 END AS quarters FROM fx_images),
+        plan AS (SELECT *, CAST(floor({_draw('crop_x')} * (width - cw + 1)) AS BIGINT) AS cx,
+            CAST(floor({_draw('crop_y')} * (height - ch + 1)) AS BIGINT) AS cy FROM drawn)"""
+CROPPED = """SELECT *, greatest(x - cx, 0) AS x0, least(x + w - cx, cw) AS x1, greatest(y - cy, 0) AS y0, least(y + h - cy, ch) AS y1"""
 BAND = "greatest(1, CAST(round_even(0.19 * (2 * sqrt(CAST(w * h AS DOUBLE) / pi())), 0) AS BIGINT))"
 SPLIT = "CASE WHEN image_id % 4 = 0 THEN 'test' ELSE 'train' END"
 DISPLAY = ("SELECT image_id, ann_id AS gt_id, x // 2 AS x, y // 2 AS y, (x + w + 1) // 2 - x // 2 AS w, (y + h + 1) // 2 - y // 2 AS h FROM fx_gt")
@@ -304,10 +317,10 @@ CASES = {
     "view4_prompt_pairs": (prompt_pairs, oracle("""SELECT i.image_id, CAST(k AS BIGINT) AS category_id, n AS prompt,
         (SELECT count(*) FROM fx_gt g WHERE g.image_id = i.image_id AND g.original_category_id = k) AS targets
         FROM fx_images i CROSS JOIN (VALUES ('tree', 2), ('canopy', 1)) v(n, k)""", "fx_images", "fx_gt")),
-    "view5_batch_plan": (batch_plan, None),
-    "view6_batch_counts": (batch_counts, oracle("""SELECT image_id // 8 AS batch_id, count(*) * 2 AS pairs, count(*) AS images,
-        CAST(sum(t) AS BIGINT) AS tree_targets, CAST(sum(c) AS BIGINT) AS canopy_targets FROM (SELECT i.image_id, count(g.image_id) FILTER (WHERE original_category_id = 2) AS t,
-        count(g.image_id) FILTER (WHERE original_category_id = 1) AS c FROM fx_images i LEFT JOIN fx_gt g USING (image_id) GROUP BY 1) q GROUP BY 1""", "fx_images", "fx_gt")),
+    "view5_batch_plan": (batch_plan, oracle(f"WITH {PLAN5} SELECT image_id, group_id, batch_id, slot FROM plan", "fx_images")),
+    "view6_batch_counts": (batch_counts, oracle(f"""WITH {PLAN5} SELECT batch_id, count(*) * 2 AS pairs, count(*) AS images,
+        CAST(sum(t) AS BIGINT) AS tree_targets, CAST(sum(c) AS BIGINT) AS canopy_targets FROM (SELECT i.image_id, batch_id, count(g.image_id) FILTER (WHERE original_category_id = 2) AS t,
+        count(g.image_id) FILTER (WHERE original_category_id = 1) AS c FROM plan i LEFT JOIN fx_gt g USING (image_id) GROUP BY 1, 2) q GROUP BY 1""", "fx_images", "fx_gt")),
     "man1_content_digest": (digest_match, "SELECT count(*) AS rows, true AS is_sha256, true AS same_rows_match, true AS changed_rows_differ FROM lineitem"),
     "man3_view_manifest": (manifest, oracle(f"""SELECT * FROM (SELECT {SPLIT} AS split, count(*) AS images FROM fx_images GROUP BY 1) i JOIN (
         SELECT {SPLIT} AS split, count(*) AS annotations, """ + ", ".join(
@@ -360,7 +373,7 @@ CASES = {
     "msk15_d4_boxes": (transformed, oracle("""SELECT unnest(['vflip', 'hflip', 'rot90_k1', 'rot90_k2', 'rot90_k3']) AS op, ann_id,
         unnest([x, 600 - x - w, y, 600 - x - w, 512 - y - h]) AS x, unnest([512 - y - h, y, 600 - x - w, 512 - y - h, x]) AS y,
         unnest([w, w, h, w, h]) AS w, unnest([h, h, w, h, w]) AS h FROM fx_gt""", "fx_gt")),
-    "msk16_augmentation_plan": (choices, None),
+    "msk16_augmentation_plan": (choices, oracle(f"WITH {AUGMENT} SELECT * FROM plan", "fx_images")),
     "msk17_cropped_objects": (cropped_objects, oracle("""SELECT ann_id, round(x0 * 1008 / 256.0::DOUBLE, 6) AS x, round(y0 * 1008 / 300.0::DOUBLE, 6) AS y,
         round((x1 - x0) * 1008 / 256.0::DOUBLE, 6) AS w, round((y1 - y0) * 1008 / 300.0::DOUBLE, 6) AS h FROM (
         SELECT ann_id, greatest(x - image_id % 200, 0) AS x0, greatest(y - image_id % 100, 0) AS y0, least(x + w - image_id % 200, 256) AS x1,
@@ -374,8 +387,18 @@ CASES = {
         SELECT CASE WHEN hi IS NULL THEN '>=' || lo ELSE lo || '-' || (hi - 1) END AS bucket, count(c.n) AS images
         FROM (VALUES (0, 1), (1, 10), (10, 20), (20, 25), (25, 30), (30, 35), (35, 50), (50, 100), (100, NULL)) b(lo, hi)
         LEFT JOIN c ON n >= lo AND (hi IS NULL OR n < hi) GROUP BY lo, hi""", "fx_images", "fx_gt")),
-    "sta4_crop_scale": (crop_scale, None),
-    "sta5_pixel_gain": (pixel_gain, None),
+    "sta4_crop_scale": (crop_scale, oracle(f"""WITH {AUGMENT},
+        windows AS (SELECT 'random_crop' AS variant, image_id, width, height, cw, ch, cx, cy FROM plan
+          UNION ALL SELECT 'whole_image', image_id, width, height, width, height, 0, 0 FROM plan),
+        kept AS (SELECT variant, image_id, count(*) AS kept FROM ({CROPPED} FROM fx_gt JOIN windows USING (image_id)) q WHERE x1 > x0 AND y1 > y0 GROUP BY 1, 2)
+        SELECT variant, min(cw) AS cw_min, round(avg(cw), 6) AS cw_mean, max(cw) AS cw_max, min(ch) AS ch_min, round(avg(ch), 6) AS ch_mean, max(ch) AS ch_max,
+          round(avg(1008 * (1.0::DOUBLE / cw + 1.0::DOUBLE / ch) / 2), 6) AS scale_mean, round(avg(coalesce(kept, 0)), 6) AS mean_objects,
+          round(avg((CASE WHEN cw >= width - 1 THEN 1.0 ELSE 0.0 END + CASE WHEN ch >= height - 1 THEN 1.0 ELSE 0.0 END)::DOUBLE / 2), 6) AS full_image_frac
+        FROM windows LEFT JOIN kept USING (variant, image_id) GROUP BY 1""", "fx_images", "fx_gt")),
+    "sta5_pixel_gain": (pixel_gain, oracle(f"""WITH {AUGMENT},
+        cut AS ({CROPPED}, w * h * 1016064.0::DOUBLE / (width * height) AS whole_px FROM fx_gt JOIN plan USING (image_id) WHERE w * h < 1024),
+        ratios AS (SELECT ((x1 - x0) * 1008.0::DOUBLE / cw) * ((y1 - y0) * 1008.0::DOUBLE / ch) / whole_px AS r FROM cut WHERE x1 > x0 AND y1 > y0)
+        SELECT count(*) AS objects, round(avg(r), 6) AS mean_ratio, round(median(r), 6) AS median_ratio FROM ratios""", "fx_images", "fx_gt")),
     "sta6_d4_invariants": (d4_invariants, """SELECT unnest(['vflip', 'hflip', 'rot90_k1', 'rot90_k2', 'rot90_k3']) AS op, count(*) AS n_obj,
         CAST(0 AS BIGINT) AS max_mask_area_delta, 0.0::DOUBLE AS max_box_area_rel_delta, true AS ok FROM lineitem"""),
 }

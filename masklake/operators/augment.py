@@ -32,8 +32,9 @@ def moved_point(op: str, x: Column, y: Column, width: Column, height: Column) ->
 
 
 def chance(seed: int, op: str, *keys: str) -> Column:
-    """Uniform number in [0, 1) that depends only on the keys, the seed and the operation."""
-    return F.pmod(F.xxhash64(*keys, F.lit(seed), F.lit(op)), F.lit(2 ** 31)) / F.lit(float(2 ** 31))
+    """Uniform number in [0, 1) that depends only on the keys, the seed and the operation: 32 bits of an MD5 of their text."""
+    text = F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)), F.lit(op))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") / F.lit(float(2 ** 32))
 
 
 def augmentation_plan(images: DataFrame, *, seed: int, low: int, high: int) -> DataFrame:

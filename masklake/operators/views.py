@@ -136,7 +136,7 @@ def prompt_pairs(images: DataFrame, annotations: DataFrame) -> DataFrame:
 
 def batch_plan(images: DataFrame, batch: int, accumulate: int, seed: int, epoch: int) -> DataFrame:
     """Seeded shuffle cut into groups of `batch * accumulate` images, incomplete groups dropped."""
-    shuffled = images.select("image_id", F.xxhash64("image_id", F.lit(seed), F.lit(epoch)).alias("_h"))
+    shuffled = images.select("image_id", F.md5(F.concat_ws(":", F.col("image_id").cast("string"), F.lit(str(seed)), F.lit(str(epoch)))).alias("_h"))
     numbered = prefix.row_numbers(shuffled, [F.col("_h"), F.col("image_id")], "_rn")
     size = batch * accumulate
     total = images.agg(F.count(F.lit(1)).alias("_n"))

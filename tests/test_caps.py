@@ -2,9 +2,10 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from masklake.operators import matching, recall, suppression
+from masklake.operators import matching, recall, suppression, views
 from masklake.operators.masks import box_slabs
 from masklake.operators.parsing import parse_payload
 from masklake.plans import evaluate
@@ -103,3 +104,47 @@ def test_a_failed_report_leaves_the_old_one(spark, tmp_path):
     assert sorted(r.n for r in spark.read.json(path).collect()) == [0, 1, 2]
     write_report(spark.range(1).toDF("n"), path)
     assert spark.read.json(path).count() == 1
+
+
+def test_class_split_refusals(spark):
+    schema = "ann_id long, original_category_id int, iscrowd int"
+    good = spark.createDataFrame([(1, 2, 0), (2, 1, 0)], schema)
+    assert sorted((r.ann_id, r.iscrowd) for r in views.class_split(good, 2).collect()) == [(1, 0), (2, 1)]
+    with pytest.raises(views.ContractError, match="unknown class"):
+        views.class_split(good, 7)
+    with pytest.raises(views.ContractError, match="original_category_id"):
+        views.class_split(good.drop("original_category_id"), 2)
+    with pytest.raises(Exception, match="has no original_category_id"):
+        views.class_split(good.unionByName(spark.createDataFrame([(3, None, 0)], schema)), 2).collect()
+    views.require(views.class_split_checks(good, 2))
+    for bad in (good.limit(0), good.where("original_category_id = 1")):
+        with pytest.raises(views.ContractError):
+            views.require(views.class_split_checks(bad, 2))
+
+
+def test_fold_split_needs_both_sides(spark):
+    images = spark.createDataFrame([(1, 0), (2, 1), (3, None)], "image_id long, validation_fold int")
+    annotations = spark.createDataFrame([(1,), (2,)], "image_id long")
+    views.require(views.fold_checks(views.fold_split(images, annotations, 0)[0]))
+    for fold, part in ((5, images), (0, images.where("validation_fold = 0"))):
+        with pytest.raises(views.ContractError, match="is not empty"):
+            views.require(views.fold_checks(views.fold_split(part, annotations, fold)[0]))
+
+
+def test_failed_rules_beyond_those_listed_are_counted(spark):
+    checks = spark.range(25).selectExpr("concat('rule ', id) AS check", "false AS ok", "'x' AS detail")
+    with pytest.raises(views.ContractError, match="and 5 more"):
+        views.require(checks)
+
+
+def test_scratch_owns_its_tables(spark):
+    import os
+
+    from masklake.session import materialize, scratch
+
+    kept = materialize(spark.range(3), "kept")
+    with scratch(spark):
+        gone = materialize(spark.range(3), "gone")
+        assert gone.count() == 3
+    where = lambda df: df._written_path.removeprefix("file:")
+    assert os.path.exists(where(kept)) and not os.path.exists(where(gone))
