@@ -9,7 +9,11 @@ from masklake.operators import cleaning, parsing, validation
 from masklake.session import materialize
 
 KEYS = ["split", "sample_index"]
-SIDE = F.lit(512).cast("bigint")
+
+
+def _side():
+    """Side of every canvas as a column; made when asked for, so that the module imports without a session."""
+    return F.lit(512).cast("bigint")
 
 
 def _parsed(spark, sf):
@@ -24,7 +28,7 @@ def _stored(spark, sf):
 
 def _rows(spark, sf, stored=None):
     stored = _stored(spark, sf) if stored is None else stored
-    return stored.where("local_index IS NOT NULL").drop("parse_error").withColumns({"width": SIDE, "height": SIDE})
+    return stored.where("local_index IS NOT NULL").drop("parse_error").withColumns({"width": _side(), "height": _side()})
 
 
 def _checked(spark, sf, stored=None):
@@ -55,7 +59,7 @@ def polygons(spark, sf):
 
 def boxes(spark, sf):
     d = spark_view(spark, sf, "fx_dirty")
-    codes = validation.box_issues(*[F.col(c) for c in "xywh"], SIDE, SIDE)
+    codes = validation.box_issues(*[F.col(c) for c in "xywh"], _side(), _side())
     return d.select("row_key", F.explode(codes).alias("code"))
 
 
@@ -131,7 +135,7 @@ def clipped_polygons(spark, sf):
 def clipped_boxes(spark, sf):
     from masklake.functions.geometry import clip_box
     d = spark_view(spark, sf, "fx_dirty")
-    out = d.select("row_key", clip_box(*[F.col(c) for c in "xywh"], SIDE, SIDE).alias("b")).where("b IS NOT NULL")
+    out = d.select("row_key", clip_box(*[F.col(c) for c in "xywh"], _side(), _side()).alias("b")).where("b IS NOT NULL")
     return out.select("row_key", "b.*")
 
 
