@@ -80,11 +80,11 @@ def removed_lines(docs: DataFrame, width: int = WIDTH, threshold: float = THRESH
     single = screened.join(_small(repeated), ["d1", "d2"], "left").where("first IS NULL OR first.line = line")
     tokens = single.select("line", F.explode("prefix").alias("token"))
     shared = materialize(tokens.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token"), "shared-tokens")
-    held = materialize(tokens.join(_small(shared), "token", "left_semi").select("line").distinct(), "held-lines")
+    held = materialize(tokens.join(shared, "token", "left_semi").select("line").distinct(), "held-lines")
     # the prefixes are used up; what is needed of them is a fraction of their size
     screened = materialize(screened.select("doc_id", "line_no", "line", "d1", "d2"), "line-digests")
     discard(shared, written)
-    likely = screened.join(_small(held), "line", "left_semi").select("doc_id", "line_no")
+    likely = screened.join(held, "line", "left_semi").select("doc_id", "line_no")
     wanted = materialize(likely.groupBy("doc_id").agg(F.collect_set("line_no").alias("wanted")), "likely-documents")
     discard(held)
     again = docs.join(_small(wanted), "doc_id").select(
