@@ -67,15 +67,15 @@ def batch_counts(spark, sf):
 
 
 def digest_match(spark, sf):
-    """Digest of the annotations, of the same rows in another order, and of rows with one changed value."""
-    gt = spark_view(spark, sf, "fx_gt")
-    a = views.content_digest(gt).select(big("rows"), F.col("digest").alias("a"))
-    b = views.content_digest(gt.repartition(5, "w")).select(F.col("digest").alias("b"))
-    c = views.content_digest(gt.withColumn("x", F.when(F.col("ann_id") % 1000 == 0, F.col("x") + 1).otherwise(F.col("x")))).select(
-        F.col("digest").alias("c"))
-    one = a.join(b.hint("broadcast")).join(c.hint("broadcast"))
-    return one.select("rows", (F.length("a") == 64).alias("is_sha256"), (F.col("a") == F.col("b")).alias("same_rows_match"),
-                      (F.col("a") != F.col("c")).alias("changed_rows_differ"))
+    """Digests of the annotations, of the same rows in another order, with one value changed, and with one row less."""
+    gt = spark_view(spark, sf, "fx_gt").select("ann_id", "image_id", "x", "y", "w", "h")
+    changed = gt.withColumn("w", F.when(F.col("ann_id") == 1, F.col("w") + 1).otherwise(F.col("w")))
+    parts = {"as_is": gt, "reordered": gt.orderBy(F.desc("x"), "ann_id"), "changed": changed, "one_less": gt.where("ann_id <> 1")}
+    out = None
+    for name, df in parts.items():
+        one = views.content_digest(df).select(F.lit(name).alias("variant"), big("rows"), "digest")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def manifest(spark, sf):
@@ -321,7 +321,14 @@ CASES = {
     "view6_batch_counts": (batch_counts, oracle(f"""WITH {PLAN5} SELECT batch_id, count(*) * 2 AS pairs, count(*) AS images,
         CAST(sum(t) AS BIGINT) AS tree_targets, CAST(sum(c) AS BIGINT) AS canopy_targets FROM (SELECT i.image_id, batch_id, count(g.image_id) FILTER (WHERE original_category_id = 2) AS t,
         count(g.image_id) FILTER (WHERE original_category_id = 1) AS c FROM plan i LEFT JOIN fx_gt g USING (image_id) GROUP BY 1, 2) q GROUP BY 1""", "fx_images", "fx_gt")),
-    "man1_content_digest": (digest_match, "SELECT count(*) AS rows, true AS is_sha256, true AS same_rows_match, true AS changed_rows_differ FROM lineitem"),
+    "man1_content_digest": (digest_match, oracle("""WITH v AS (SELECT 'as_is' AS variant, * FROM fx_gt UNION ALL SELECT 'reordered', * FROM fx_gt
+          UNION ALL SELECT 'changed', * REPLACE (CASE WHEN ann_id = 1 THEN w + 1 ELSE w END AS w) FROM fx_gt
+          UNION ALL SELECT 'one_less', * FROM fx_gt WHERE ann_id <> 1),
+        h AS (SELECT variant, sha256('{"ann_id":' || ann_id || ',"h":' || h || ',"image_id":' || image_id || ',"w":' || w || ',"x":' || x || ',"y":' || y || '}') AS h FROM v),
+        b AS (SELECT variant, CAST('0x' || substr(h, 1, 2) AS BIGINT) AS bucket, count(*) AS n, """ + ", ".join(
+            f"sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT)) AS w{i}" for i in range(8)) + """ FROM h GROUP BY 1, 2),
+        d AS (SELECT variant, n, sha256(concat_ws('|', bucket, n, w0, w1, w2, w3, w4, w5, w6, w7)) AS d FROM b)
+        SELECT variant, CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(d, '' ORDER BY d)) AS digest FROM d GROUP BY 1""", "fx_gt")),
     "man3_view_manifest": (manifest, oracle(f"""SELECT * FROM (SELECT {SPLIT} AS split, count(*) AS images FROM fx_images GROUP BY 1) i JOIN (
         SELECT {SPLIT} AS split, count(*) AS annotations, """ + ", ".join(
         [f"count(*) FILTER (WHERE original_category_id = {c}) AS category_{c}" for c in (1, 2)]
