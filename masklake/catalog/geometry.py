@@ -32,8 +32,31 @@ def _split_gt(spark, sf):
     return spark_view(spark, sf, "fx_gt").withColumn("split", F.when(F.col("image_id") % 4 == 0, "test").otherwise("train"))
 
 
+def _damaged(spark, sf):
+    """Images and annotations that break every rule somewhere; `DAMAGED` says the same in SQL."""
+    images, gt = _split_images(spark, sf), _split_gt(spark, sf)
+    i, a = F.col("image_id"), F.col("ann_id")
+    images = images.unionByName(images.where("image_id % 50 = 0")).where("image_id % 17 <> 0").withColumns({
+        "file_name": F.when(i % 11 == 0, F.concat(F.lit("../"), "file_name")).when(i % 13 != 0, F.col("file_name")),
+        "width": F.when(i % 28 == 0, F.lit(500).cast("bigint")).otherwise(F.col("width")),
+        "split": F.when(i % 36 == 0, F.lit("train")).otherwise(F.col("split"))})
+    gt = gt.unionByName(gt.where("ann_id % 97 = 0")).withColumns({
+        "original_category_id": F.when(a % 29 != 0, F.col("original_category_id")),
+        "category_id": F.when(a % 31 == 0, F.lit(2).cast("bigint")).otherwise(F.col("category_id"))})
+    return images, gt
+
+
+DAMAGED = """bi AS (SELECT image_id, CASE WHEN image_id % 28 = 0 THEN 500 ELSE width END AS width, height,
+            image_id % 11 = 0 OR image_id % 13 = 0 AS bad_path, CASE WHEN image_id % 4 = 0 AND image_id % 36 <> 0 THEN 'test' ELSE 'train' END AS split
+            FROM (SELECT * FROM fx_images UNION ALL SELECT * FROM fx_images WHERE image_id % 50 = 0) q WHERE image_id % 17 <> 0),
+        bg AS (SELECT ann_id, image_id, CASE WHEN ann_id % 29 <> 0 THEN original_category_id END AS original_category_id,
+            CASE WHEN ann_id % 31 = 0 THEN 2 ELSE category_id END AS category_id FROM (SELECT * FROM fx_gt UNION ALL SELECT * FROM fx_gt WHERE ann_id % 97 = 0) q)"""
+
+
 def view_source_checks(spark, sf):
-    return views.view_checks(_split_images(spark, sf), spark_view(spark, sf, "fx_gt"))
+    """The rules on sound tables and, as `damaged`, on broken ones."""
+    sound = views.view_checks(_split_images(spark, sf), spark_view(spark, sf, "fx_gt"))
+    return sound.withColumn("tables", F.lit("sound")).unionByName(views.view_checks(*_damaged(spark, sf)).withColumn("tables", F.lit("damaged")))
 
 
 def class_counts(spark, sf):
@@ -67,10 +90,10 @@ def batch_counts(spark, sf):
 
 
 def digest_match(spark, sf):
-    """Digests of the annotations, of the same rows in another order, with one value changed, and with one row less."""
+    """Digests of the annotations, of the same rows in another order, with some values changed, and with some rows less."""
     gt = spark_view(spark, sf, "fx_gt").select("ann_id", "image_id", "x", "y", "w", "h")
-    changed = gt.withColumn("w", F.when(F.col("ann_id") == 1, F.col("w") + 1).otherwise(F.col("w")))
-    parts = {"as_is": gt, "reordered": gt.orderBy(F.desc("x"), "ann_id"), "changed": changed, "one_less": gt.where("ann_id <> 1")}
+    changed = gt.withColumn("w", F.when(F.col("ann_id") % 1001 == 0, F.col("w") + 1).otherwise(F.col("w")))
+    parts = {"as_is": gt, "reordered": gt.orderBy(F.desc("x"), "ann_id"), "changed": changed, "some_less": gt.where("ann_id % 1001 <> 0")}
     out = None
     for name, df in parts.items():
         one = views.content_digest(df).select(F.lit(name).alias("variant"), big("rows"), "digest")
@@ -84,12 +107,16 @@ def manifest(spark, sf):
 
 
 def manifest_rules(spark, sf):
-    return views.manifest_checks(views.view_manifest(_split_images(spark, sf), _split_gt(spark, sf)), {"train": 1, "test": 1})
+    """Rules on a manifest whose test split has lost a category and whose training split has annotations without one."""
+    gt = _split_gt(spark, sf).where("split = 'train' OR original_category_id = 2").withColumn(
+        "original_category_id", F.when((F.col("split") == "test") | (F.col("ann_id") % 29 != 0), F.col("original_category_id")))
+    return views.manifest_checks(views.view_manifest(_split_images(spark, sf), gt), {"train": 1, "test": 1})
 
 
 def protocol(spark, sf):
     images, gt = _split_images(spark, sf).where("split = 'test'"), _split_gt(spark, sf).where("split = 'test'")
-    return views.protocol_checks(images, gt, n_images=439, n_annotations=30646, side=CANVAS, split="test")
+    check = lambda i, g: views.protocol_checks(i, g, n_images=439, n_annotations=30646, side=CANVAS, split="test")
+    return check(images, gt).withColumn("tables", F.lit("sound")).unionByName(check(*_damaged(spark, sf)).withColumn("tables", F.lit("damaged")))
 
 
 def export_rules(spark, sf):
@@ -297,13 +324,17 @@ CASES = {
                CASE WHEN validation_fold >= 0 THEN (SELECT count(*) FROM fx_gt g WHERE g.image_id = i.image_id) END AS n FROM fx_images i) q GROUP BY part""",
         "fx_images", "fx_gt")),
     "view1_restored_categories": (restored, oracle("SELECT ann_id, image_id, original_category_id AS category_id, iscrowd FROM fx_gt", "fx_gt")),
-    "view1_source_checks": (view_source_checks, oracle(" UNION ALL ".join([
-        OKROW.format("image ids are unique", "(SELECT count(*) = count(DISTINCT image_id) FROM fx_images)", "(SELECT count(*) - count(DISTINCT image_id) FROM fx_images)"),
-        OKROW.format("annotation ids are unique", "(SELECT count(*) = count(DISTINCT ann_id) FROM fx_gt)", "(SELECT count(*) - count(DISTINCT ann_id) FROM fx_gt)"),
-        OKROW.format("image paths are relative", "true", "0"), OKROW.format("original categories are 1 or 2", "true", "0"),
-        OKROW.format("source is collapsed", "true", "0"),
-        OKROW.format("annotations refer to known images", "(SELECT count(*) = 0 FROM fx_gt ANTI JOIN fx_images USING (image_id))",
-                     "(SELECT count(*) FROM fx_gt ANTI JOIN fx_images USING (image_id))")]), "fx_images", "fx_gt")),
+    "view1_source_checks": (view_source_checks, oracle(f"WITH {DAMAGED} " + " UNION ALL ".join(
+        f"SELECT q.*, '{name}' AS tables FROM (" + " UNION ALL ".join([
+            OKROW.format("image ids are unique", f"(SELECT count(*) = count(DISTINCT image_id) FROM {i})", f"(SELECT count(*) - count(DISTINCT image_id) FROM {i})"),
+            OKROW.format("annotation ids are unique", f"(SELECT count(*) = count(DISTINCT ann_id) FROM {g})", f"(SELECT count(*) - count(DISTINCT ann_id) FROM {g})"),
+            OKROW.format("image paths are relative", f"({paths}) = 0", f"({paths})"),
+            OKROW.format("original categories are 1 or 2", f"(SELECT count(*) FILTER (WHERE original_category_id IS NULL) FROM {g}) = 0",
+                         f"(SELECT count(*) FILTER (WHERE original_category_id IS NULL) FROM {g})"),
+            OKROW.format("source is collapsed", f"(SELECT count(*) FILTER (WHERE category_id <> 1) FROM {g}) = 0", f"(SELECT count(*) FILTER (WHERE category_id <> 1) FROM {g})"),
+            OKROW.format("annotations refer to known images", f"(SELECT count(*) = 0 FROM {g} ANTI JOIN {i} USING (image_id))",
+                         f"(SELECT count(*) FROM {g} ANTI JOIN {i} USING (image_id))")]) + ") q"
+        for name, i, g, paths in (("sound", "fx_images", "fx_gt", "SELECT 0"), ("damaged", "bi", "bg", "SELECT count(*) FILTER (WHERE bad_path) FROM bi"))), "fx_images", "fx_gt")),
     "view2_class_split": (class_counts, oracle("""SELECT n AS class_split, count(*) FILTER (WHERE original_category_id = k AND iscrowd = 0) AS scored,
         count(*) FILTER (WHERE original_category_id <> k) AS ignored, count(*) FILTER (WHERE original_category_id = k AND iscrowd = 1) AS already_crowd,
         count(*) FILTER (WHERE original_category_id <> k OR iscrowd = 1) AS crowd_after
@@ -322,8 +353,8 @@ CASES = {
         CAST(sum(t) AS BIGINT) AS tree_targets, CAST(sum(c) AS BIGINT) AS canopy_targets FROM (SELECT i.image_id, batch_id, count(g.image_id) FILTER (WHERE original_category_id = 2) AS t,
         count(g.image_id) FILTER (WHERE original_category_id = 1) AS c FROM plan i LEFT JOIN fx_gt g USING (image_id) GROUP BY 1, 2) q GROUP BY 1""", "fx_images", "fx_gt")),
     "man1_content_digest": (digest_match, oracle("""WITH v AS (SELECT 'as_is' AS variant, * FROM fx_gt UNION ALL SELECT 'reordered', * FROM fx_gt
-          UNION ALL SELECT 'changed', * REPLACE (CASE WHEN ann_id = 1 THEN w + 1 ELSE w END AS w) FROM fx_gt
-          UNION ALL SELECT 'one_less', * FROM fx_gt WHERE ann_id <> 1),
+          UNION ALL SELECT 'changed', * REPLACE (CASE WHEN ann_id % 1001 = 0 THEN w + 1 ELSE w END AS w) FROM fx_gt
+          UNION ALL SELECT 'some_less', * FROM fx_gt WHERE ann_id % 1001 <> 0),
         h AS (SELECT variant, sha256('{"ann_id":' || ann_id || ',"h":' || h || ',"image_id":' || image_id || ',"w":' || w || ',"x":' || x || ',"y":' || y || '}') AS h FROM v),
         b AS (SELECT variant, CAST('0x' || substr(h, 1, 2) AS BIGINT) AS bucket, count(*) AS n, """ + ", ".join(
             f"sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT)) AS w{i}" for i in range(8)) + """ FROM h GROUP BY 1, 2),
@@ -334,16 +365,24 @@ CASES = {
         [f"count(*) FILTER (WHERE original_category_id = {c}) AS category_{c}" for c in (1, 2)]
         + [f"count(*) FILTER (WHERE original_category_id = {c} AND iscrowd = {v}) AS category_{c}_crowd_{v}" for c in (1, 2) for v in (0, 1)])
         + " FROM fx_gt GROUP BY 1) a USING (split)", "fx_images", "fx_gt")),
-    "man4_manifest_rules": (manifest_rules, oracle(f"""SELECT split, c AS "check", CASE WHEN c = 'locked image count' THEN n = 1 ELSE true END AS ok
-        FROM (SELECT {SPLIT} AS split, count(*) AS n FROM fx_images GROUP BY 1) s CROSS JOIN (VALUES ('categories are present'), ('categories add up'),
-        ('crowd flags add up'), ('scored targets of both categories'), ('locked image count')) v(c)""", "fx_images")),
-    "man6_protocol_checks": (protocol, oracle(f"""WITH n AS (SELECT (SELECT count(*) FROM fx_images WHERE image_id % 4 = 0) AS i,
-        (SELECT count(*) FROM fx_gt WHERE image_id % 4 = 0) AS a,
-        (SELECT count(*) FROM fx_images ANTI JOIN fx_gt USING (image_id) WHERE image_id % 4 = 0) AS e)
-        """ + " UNION ALL ".join(OKROW.format(*r) + " FROM n" for r in [
-            ("image count", "i = 439", "i"), ("annotation count", "a = 30646", "a"), ("image ids are unique", "true", "0"), ("image size", "true", "0"),
-            ("source split", "true", "0"), ("annotations refer to known images", "true", "0"), ("category is collapsed", "true", "0"),
-            ("images without annotations", "true", "e")]), "fx_images", "fx_gt")),
+    "man4_manifest_rules": (manifest_rules, oracle(f"""WITH g AS (SELECT {SPLIT} AS split, iscrowd,
+          CASE WHEN image_id % 4 = 0 OR ann_id % 29 <> 0 THEN original_category_id END AS c FROM fx_gt WHERE image_id % 4 <> 0 OR original_category_id = 2),
+        m AS (SELECT split, n, count(*) AS a, count(*) FILTER (WHERE c = 1) AS c1, count(*) FILTER (WHERE c = 2) AS c2,
+          count(*) FILTER (WHERE c = 1 AND iscrowd = 0) AS s1, count(*) FILTER (WHERE c = 2 AND iscrowd = 0) AS s2
+          FROM g JOIN (SELECT {SPLIT} AS split, count(*) AS n FROM fx_images GROUP BY 1) i USING (split) GROUP BY 1, 2)
+        SELECT split, unnest(['categories are present', 'categories add up', 'crowd flags add up', 'scored targets of both categories', 'locked image count']) AS "check",
+          unnest([c1 > 0 AND c2 > 0, c1 + c2 = a, true, s1 > 0 AND s2 > 0, n = 1]) AS ok FROM m""", "fx_images", "fx_gt")),
+    "man6_protocol_checks": (protocol, oracle(f"""WITH {DAMAGED}, si AS (SELECT *, 'test' AS split FROM fx_images WHERE image_id % 4 = 0), sg AS (SELECT * FROM fx_gt WHERE image_id % 4 = 0)
+        """ + " UNION ALL ".join(f"SELECT q.*, '{name}' AS tables FROM (" + " UNION ALL ".join(OKROW.format(*r) for r in [
+            ("image count", f"(SELECT count(*) FROM {i}) = 439", f"(SELECT count(*) FROM {i})"),
+            ("annotation count", f"(SELECT count(*) FROM {g}) = 30646", f"(SELECT count(*) FROM {g})"),
+            ("image ids are unique", f"(SELECT count(*) = count(DISTINCT image_id) FROM {i})", f"(SELECT count(*) - count(DISTINCT image_id) FROM {i})"),
+            ("image size", f"(SELECT count(*) FROM {i} WHERE width <> 512 OR height <> 512) = 0", f"(SELECT count(*) FROM {i} WHERE width <> 512 OR height <> 512)"),
+            ("source split", f"(SELECT count(*) FROM {i} WHERE split <> 'test') = 0", f"(SELECT count(*) FROM {i} WHERE split <> 'test')"),
+            ("annotations refer to known images", f"(SELECT count(*) = 0 FROM {g} ANTI JOIN {i} USING (image_id))", f"(SELECT count(*) FROM {g} ANTI JOIN {i} USING (image_id))"),
+            ("category is collapsed", f"(SELECT count(*) FROM {g} WHERE category_id <> 1) = 0", f"(SELECT count(*) FROM {g} WHERE category_id <> 1)"),
+            ("images without annotations", "true", f"(SELECT count(DISTINCT image_id) FROM {i} ANTI JOIN {g} USING (image_id))")]) + ") q"
+            for name, i, g in (("sound", "si", "sg"), ("damaged", "bi", "bg"))), "fx_images", "fx_gt")),
     "man7_export_rules": (export_rules, oracle("""WITH n AS (SELECT (SELECT count(*) FROM fx_images WHERE image_id % 50 = 0) AS m,
         (SELECT max(c) FROM (SELECT count(*) AS c FROM fx_gt GROUP BY image_id) q) AS t, (SELECT count(*) FROM fx_images ANTI JOIN fx_gt USING (image_id)) AS e)
         """ + " UNION ALL ".join(OKROW.format(*r) + " FROM n" for r in [
