@@ -1,11 +1,13 @@
 """Line dedup by an exact set-similarity self-join, in DataFrame operations only.
 
-A line's tokens are its runs of five words in lower case; lines with fewer words are left alone. A line is removed if an earlier line,
-by (doc_id, line number), has a token set with a Jaccard similarity of the threshold or more, itself removed or not.
+A line's tokens are its runs of five words in lower case; a line of one to four words has one token, all its words. Only lines without
+words are left alone. A line is removed if an earlier line, by (doc_id, line number), has a token set with a Jaccard similarity of the
+threshold or more, itself removed or not.
 
 1. Screen. Two sets of similarity t share a token among the first n - ceil(t n) + 1 of each in any common order. In the order of the
    token hashes, which needs no statistics, only lines that share such a token with a different set can have a partner
-   at all. Their number is small; everything later works on them. Equal sets are found by one aggregation of their digests.
+   at all. Their number is small; everything later works on them. Equal sets are found by one aggregation of their digests. Sets of n
+   tokens with n / (n + 1) below t (at 0.8 those of up to three, all short lines among them) reach t with equal sets only and skip the rest.
 2. Order. Token frequencies are counted exactly over the distinct screened sets, and each set's tokens are ordered by rarity.
 3. Groups. Sets that share a token of their rarity-ordered prefixes are linked to the smallest set with that token; the connected parts are
    the groups in which partners lie.
@@ -44,15 +46,17 @@ def _prefix_length(n: Column, threshold: float) -> Column:
 
 
 def token_sets(lines: DataFrame, width: int) -> DataFrame:
-    """`lines` with `tokens` (distinct hashes of runs of words, ascending; none for a line of fewer words) in place of `line`."""
+    """`lines` that have words, with `tokens` (distinct hashes of runs of words, ascending; one of all words for a line of fewer) in place of `line`."""
+    lines = lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
     words = F.transform(F.split(F.trim(F.regexp_replace(F.lower("line"), r"[\x09-\x0D]", " ")), r"\x20+"), lambda w: F.xxhash64(w))
     out, length = lines.withColumn("runs", words).drop("line"), 1
+    out = out.withColumn("whole", F.when(F.size("runs") < width, F.array(F.xxhash64(F.lit(width), "runs"))))
     while length < width:  # a run of words is two shorter ones, the second shifted; a column of its own is computed once
         step = min(length, width - length)
         count = F.greatest(F.size("runs") - step, F.lit(0))
         out = out.withColumn("runs", F.zip_with(F.slice("runs", F.lit(1), count), F.slice("runs", F.lit(1 + step), count), lambda x, y: F.xxhash64(x, y)))
         length += step
-    return out.select("doc_id", "line_no", F.sort_array(F.array_distinct("runs")).alias("tokens"))
+    return out.select("doc_id", "line_no", F.coalesce("whole", F.sort_array(F.array_distinct("runs"))).alias("tokens"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -68,16 +72,17 @@ def removed_lines(docs: DataFrame, width: int = WIDTH, threshold: float = THRESH
     """
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = F.size("tokens")
+    front = F.when(n >= (n + 1) * threshold - 1e-9, F.slice("tokens", F.lit(1), _prefix_length(n, threshold))).otherwise(F.array().cast("array<bigint>"))
     written = materialize(token_sets(_lines(docs), width).select(
         "doc_id", "line_no", F.xxhash64("tokens").alias("d1"), F.xxhash64("tokens", F.lit(width)).alias("d2"),
-        F.slice("tokens", F.lit(1), _prefix_length(n, threshold)).alias("prefix"), F.monotonically_increasing_id().alias("line")),
+        front.alias("prefix"), F.monotonically_increasing_id().alias("line")),
         "line-prefixes")
-    screened = written.where(F.size("prefix") > 0)
+    screened = written
     place = F.struct("doc_id", "line_no")
     firsts = screened.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "line_no", "line")).alias("first"), F.count("*").alias("copies"))
     repeated = materialize(firsts.where("copies > 1").drop("copies"), "repeated-lines")
     # of equal lines only the first goes on, so that a token met twice is met in two sets
-    single = screened.join(_small(repeated), ["d1", "d2"], "left").where("first IS NULL OR first.line = line")
+    single = screened.where(F.size("prefix") > 0).join(_small(repeated), ["d1", "d2"], "left").where("first IS NULL OR first.line = line")
     tokens = single.select("line", F.explode("prefix").alias("token"))
     shared = materialize(tokens.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token"), "shared-tokens")
     held = materialize(tokens.join(shared, "token", "left_semi").select("line").distinct(), "held-lines")
