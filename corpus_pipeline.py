@@ -1,24 +1,38 @@
 """The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input.
 
-Every stage takes (spark, docs, sf_dir) and returns the columns of documents; the last adds the number of copies to take. doc_id is
-unique in documents. An empty table passes through all stages as an empty table.
+Every stage takes (spark, docs, sf_dir) and returns the columns of documents; the last adds the number of copies to take. doc_id may be
+null or repeated: a row is a document of its own, which the stages know by a row number. An empty table passes through all stages as an
+empty table.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from masklake.llm import decontaminate, language, linededup, mixing, ngramjoin
-from masklake.llm.common import crc_bucket
-from masklake.session import checkpoint_root
+from masklake.llm.common import crc_bucket, slots
+from masklake.operators.prefix import row_numbers
+from masklake.session import checkpoint_root, materialize
 
 #: A text whose best language contains a smaller share of its n-grams is not prose of any language that was learned.
 LEAST_SCORE = 0.2
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """`docs`, written once, with a unique row number as doc_id and their own doc_id as _id. Row numbers grow with doc_id, null last."""
+    order = [F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64(*docs.columns)]
+    rows = docs.repartitionByRange(slots(docs), *order).sortWithinPartitions(*order).withColumnRenamed("doc_id", "_id")
+    return materialize(rows.withColumn("doc_id", F.monotonically_increasing_id()), "keyed")
+
+
+def _own(docs: DataFrame) -> list[Column]:
+    """The columns of `docs`, from a table with row numbers."""
+    return [F.col("_id").alias("doc_id") if c == "doc_id" else F.col(c) for c in docs.columns]
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that have letters and look like one of the languages learned from the labelled ones."""
     filters = language.train(docs.where(crc_bucket(F.col("doc_id"), 4) != 2))
@@ -28,26 +42,31 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts lines that an earlier line of the corpus repeats; a document with nothing left but white space goes."""
-    cut = linededup.dedup_lines(docs).where((F.size("lines_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return cut.withColumn("n_chars", F.when(F.size("lines_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    cut = linededup.dedup_lines(_keyed(docs)).where((F.size("lines_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return cut.withColumn("n_chars", F.when(F.size("lines_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*_own(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the smallest id, of each class of near duplicates."""
-    kept = ngramjoin.near_duplicates(docs).where("doc_id = class_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Keeps one document, that of the smallest id (one without an id only if none has one), of each class of near duplicates."""
+    keyed = _keyed(docs)
+    kept = ngramjoin.near_duplicates(keyed).where("doc_id = class_id").select("doc_id")
+    return keyed.join(kept, "doc_id", "left_semi").select(*_own(docs))
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which a window of the benchmark occurs."""
-    hits = decontaminate.find_benchmark(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
-    return docs.join(hits.where(F.size("spans") > 0).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    keyed = _keyed(docs)
+    hits = decontaminate.find_benchmark(keyed, spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
+    return keyed.join(hits.where(F.size("spans") > 0).select("doc_id"), "doc_id", "left_anti").select(*_own(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with `copies`, how often."""
-    taken = mixing.mix(docs).where("copies > 0").select("doc_id", "copies")
-    return docs.join(taken, "doc_id").select(*docs.columns, "copies")
+    """The documents that the mix takes, with `copies`, how often. It draws by a row's place in the order of ids, the same in every run."""
+    keyed = _keyed(docs)
+    places = materialize(row_numbers(keyed.select("doc_id"), [F.col("doc_id")], "place"), "places")
+    placed = keyed.join(places, "doc_id").drop("doc_id").withColumnRenamed("place", "doc_id")
+    taken = mixing.mix(placed).where("copies > 0").select("doc_id", "copies")
+    return placed.join(taken, "doc_id").select(*_own(docs), "copies")
 
 
 STAGES = [

@@ -1,6 +1,10 @@
 """Cases that an earlier form of the operators left out."""
 
+import random
 import re
+from collections import Counter
+
+from pyspark.sql import functions as F
 
 from masklake.llm import linededup
 
@@ -31,3 +35,27 @@ def test_line_dedup_removes_short_lines(spark):
     assert {(1, 0), (1, 3), (5, 5), (5, 6), (5, 7), (5, 8), (20, 0), (20, 2), (20, 6)} <= want and not {(1, 1), (1, 2), (1, 4), (20, 1), (20, 3), (20, 5)} & want
     texts = {r.doc_id: r.text for r in linededup.dedup_lines(df).collect()}
     assert texts[1] == "\n \t\n1 only here" and texts[20] == "read more now\nread read\nb c d e" and texts[23] == "\n\n"
+
+
+def test_pipeline_stages_with_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline as P
+
+    rng = random.Random(3)
+    prose = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    a, b, c, d, e, f = (prose(60) for _ in range(6))
+    rows = [(None, a), (None, b), (5, c), (5, c), (5, c), (6, d), (7, d), (None, d), (8, e), (8, f), (None, f), (None, f)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in rows]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(4)
+    spark.createDataFrame([(1, " ".join(b.split()[10:30])), (2, " ".join(e.split()[10:30]))], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    df.write.parquet(str(tmp_path / "documents"))
+    df = spark.read.parquet(str(tmp_path / "documents"))
+    pairs = lambda out: Counter((r.doc_id, r.text) for r in out.collect())
+    once = Counter([(None, a), (None, b), (5, c), (6, d), (8, e), (8, f)])
+    assert pairs(P.dedup_lines(spark, df, str(tmp_path))) == once
+    assert pairs(P.drop_near_duplicates(spark, df, str(tmp_path))) == once
+    assert pairs(P.decontaminate_benchmark(spark, df, str(tmp_path))) == Counter((i, t) for i, t, *_ in rows if t not in (b, e))
+    mixed = P.mix_sources(spark, df, str(tmp_path)).withColumn("words", F.lit(60) * F.col("copies")).collect()
+    assert abs(sum(r.words for r in mixed) - 1.5 * 60 * len(rows)) <= 60 and {r.copies for r in mixed} <= {1, 2}
+    assert not Counter((r.doc_id, r.text) for r in mixed) - Counter((i, t) for i, t, *_ in rows) and any(r.doc_id is None for r in mixed)
+    again = P.mix_sources(spark, df.repartition(2), str(tmp_path)).collect()
+    assert sorted(map(repr, again)) == sorted(repr(r).replace(f", words={r.words})", ")") for r in mixed)
