@@ -6,7 +6,7 @@ search may move when the block under its end occurs in no window, or where it oc
 nothing, and their bucket lists the windows to compare with. A candidate is confirmed by comparing the words themselves.
 
 The search runs on the documents where they lie: no shuffle, one pass for each block of the benchmark that fits `block_bytes`.
-A benchmark beyond that bound takes several passes, whose hits are united by document. All texts of a batch are searched at
+A benchmark beyond that bound takes several passes over the written documents, whose hits are united by row number. All texts of a batch are searched at
 once: each text, cut into stretches, has a cursor, and the cursors move together in numpy.
 """
 
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from masklake.llm.common import ALNUM, Words, bound_batches, id_and_text, pieces
+from masklake.session import materialize
 
 WINDOW = 10
 BLOCK_WORDS = 3
@@ -111,7 +112,8 @@ def build_patterns(items: list[tuple[str, str]], window: int = WINDOW) -> tuple[
 
 
 def _hits(docs: DataFrame, items: list[tuple[str, str]], window: int) -> DataFrame:
-    """doc_id, n_words, spans of hit words (begin, end), item ids with an occurrence."""
+    """The columns of `docs` but text, n_words, spans of hit words (begin, end), item ids with an occurrence."""
+    names = [c for c in docs.columns if c != "text"]
     sets, ids = build_patterns(items, window)
     shared = docs.sparkSession.sparkContext.broadcast((sets, ids))
 
@@ -128,14 +130,14 @@ def _hits(docs: DataFrame, items: list[tuple[str, str]], window: int) -> DataFra
                     spans[r].add((low, low + patterns.length))
                     found[r].update(patterns.items[k])
             yield pa.record_batch({
-                "doc_id": batch.column("doc_id"),
+                **{c: batch.column(c) for c in names},
                 "n_words": pa.array(np.diff(words.first), pa.int64()),
                 "spans": pa.array([_union(s) for s in spans], pa.list_(pa.list_(pa.int64()))),
                 "items": pa.array([sorted(ids[k] for k in f) for f in found], pa.list_(pa.string())),
             })
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(search, f"doc_id {kind}, n_words bigint, spans array<array<bigint>>, items array<string>")
+    kept = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in names)
+    return docs.mapInArrow(search, f"{kept}, n_words bigint, spans array<array<bigint>>, items array<string>")
 
 
 def _union(spans) -> list[list[int]]:
@@ -152,8 +154,8 @@ def _union(spans) -> list[list[int]]:
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: doc_id, n_words, spans [first word, end) that occurrences cover, items (sorted ids as text).
 
-    Null or empty texts have no words and no hits. Rows are kept one for one, repeated rows too, while the benchmark fits one block; beyond,
-    rows of one doc_id with the same text are one row. Items without words are never found; items of the same
+    Null or empty texts have no words and no hits. Rows are kept one for one at every size of the benchmark, repeated rows and those
+    without a doc_id too. Items without words are never found; items of the same
     text are all reported. Other columns of either table are not read.
     """
     bound_batches(docs.sparkSession)
@@ -164,12 +166,14 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     n = -(-total // block_bytes) or 1
     if n == 1:
         return _hits(docs, [tuple(r) for r in items.collect()], window)
-    parts = [_hits(docs, [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b).collect()], window)
-             for b in range(n)]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    merged = every.groupBy("doc_id", "n_words").agg(
+    docs = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "numbered-documents")
+    every = None
+    for b in range(n):
+        part = _hits(docs, [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b).collect()], window)
+        # the first pass has a row for each document, the others need those with hits only
+        part = materialize(part if every is None else part.where(F.size("spans") > 0), "benchmark-hits")
+        every = part if every is None else every.unionByName(part)
+    merged = every.groupBy("row", "doc_id", "n_words").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     join = lambda out, s: (
@@ -177,7 +181,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                F.concat(F.slice(out, F.lit(1), F.size(out) - 1),
                         F.array(F.array(F.element_at(out, -1)[0], F.greatest(F.element_at(out, -1)[1], s[1])))))
         .otherwise(F.concat(out, F.array(s))))
-    return merged.withColumn("spans", F.aggregate("spans", F.array().cast("array<array<bigint>>"), join))
+    return merged.drop("row").withColumn("spans", F.aggregate("spans", F.array().cast("array<array<bigint>>"), join))
 
 
 def report(hits: DataFrame) -> DataFrame:

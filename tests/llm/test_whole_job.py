@@ -6,7 +6,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from masklake.llm import linededup
+from masklake.llm import decontaminate, linededup
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -37,6 +37,18 @@ def test_line_dedup_removes_short_lines(spark):
     assert texts[1] == "\n \t\n1 only here" and texts[20] == "read more now\nread read\nb c d e" and texts[23] == "\n\n"
 
 
+def test_decontamination_keeps_rows_one_for_one_in_blocks(spark):
+    rows = [(None, "one two three"), (None, "four five six"), (None, "four five six"), (7, "one two three"), (7, "six two three"), (7, "one two three"), (8, None)]
+    items = [(1, "two three"), (2, "four five"), (3, "six two"), (4, "five six")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    want = Counter([(None, 3, ((1, 3),), ("1",)), (7, 3, ((1, 3),), ("1",)), (7, 3, ((1, 3),), ("1",)), (7, 3, ((0, 3),), ("1", "3")), (8, 0, (), ())]
+                   + [(None, 3, ((0, 3),), ("2", "4"))] * 2)
+    for bound in (1 << 20, 80):
+        got = decontaminate.find_benchmark(df, benchmark, block_bytes=bound).collect()
+        assert Counter((r.doc_id, r.n_words, tuple(map(tuple, r.spans)), tuple(r["items"])) for r in got) == want
+
+
 def test_pipeline_stages_with_null_and_repeated_ids(spark, tmp_path):
     import corpus_pipeline as P
 
