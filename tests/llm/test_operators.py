@@ -17,7 +17,8 @@ from masklake.llm import (classlm, decontaminate, exactdedup, language, linededu
                           tokencount)
 from masklake.llm.common import components
 
-SPACE = r"[\x20\x09-\x0D]+"
+from brute import SPACE, brute_lines
+
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id bigint, text string, lang string, source string, key string, size string, spans string, print string"
 
@@ -392,17 +393,6 @@ def test_whole_tokens_and_classes_are_proven():
     assert tokencount.classes_agree(spec, tokencount.AGREED)
 
 
-def line_tokens(line):
-    w = [x for x in re.split(SPACE, line.lower()) if x]
-    return frozenset(tuple(w[k:k + 5]) for k in range(len(w) - 4))
-
-
-def brute_lines(rows):
-    places = {(i, k): line_tokens(line) for i, t in rows if i is not None for k, line in enumerate((t or "").split("\n"))}
-    kept = [(p, s) for p, s in sorted(places.items()) if s]
-    return {p for n, (p, s) in enumerate(kept) if any(len(s & u) * 1.8 >= 0.8 * (len(s) + len(u)) - 1e-9 for _, u in kept[:n])}
-
-
 @pytest.mark.parametrize("block", [64, 2])
 def test_line_dedup(docs, empty, monkeypatch, block):
     monkeypatch.setattr(linededup, "BLOCK", block)

@@ -1,35 +1,20 @@
 """Cases that an earlier form of the operators left out."""
 
 import random
-import re
 from collections import Counter
 
 from pyspark.sql import functions as F
 
 from masklake.llm import decontaminate, linededup
 
-SPACE = r"[\x20\x09-\x0D]+"
-
-
-def brute_short_lines(rows):
-    """Removed (doc_id, line_no): a line of one to four words has one token, all its words."""
-    kept, gone = [], set()
-    for i, text in sorted(r for r in rows if r[0] is not None):
-        for k, line in enumerate((text or "").split("\n")):
-            w = [x for x in re.split(SPACE, line.lower()) if x]
-            s = frozenset([tuple(w)] if len(w) < 5 else [tuple(w[a:a + 5]) for a in range(len(w) - 4)]) if w else None
-            if s and any(len(s & u) >= 0.8 * len(s | u) - 1e-9 for u in kept):
-                gone.add((i, k))
-            if s:
-                kept.append(s)
-    return gone
+from brute import brute_lines
 
 
 def test_line_dedup_removes_short_lines(spark):
     long = " ".join(f"w{k}" for k in range(30))
     rows = [(k, f"Read more\n\n \t\nAll  rights\tRESERVED\n{k} only here\nread\na b c d\na b c d e\n{long} {k}\nmore read") for k in range(12)]
     rows += [(20, "READ MORE \nread more now\nread\nread read\na b c d e\nb c d e\na b c d"), (21, None), (22, ""), (23, "\n\n"), (None, "read more")]
-    want = brute_short_lines(rows)
+    want = brute_lines(rows)
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     assert {(r.doc_id, r.line_no) for r in linededup.removed_lines(df).collect()} == want
     assert {(1, 0), (1, 3), (5, 5), (5, 6), (5, 7), (5, 8), (20, 0), (20, 2), (20, 6)} <= want and not {(1, 1), (1, 2), (1, 4), (20, 1), (20, 3), (20, 5)} & want
