@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from masklake.llm import classlm, decontaminate, exactdedup, language, linededup, mixing, ngramjoin, personal, secrets, tokencount
+from masklake.llm import classlm, decontaminate, exactdedup, language, linededup, mixing, ngramjoin, packing, personal, secrets, tokencount
 from masklake.llm.common import crc_bucket
 
 
@@ -89,6 +89,13 @@ SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hit
 FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+
+def op11_power_of_two_packing(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.report(packing.pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
 CASES = {
     "op1_exact_dedup": (op1_exact_dedup, OP1_SQL),
     "op2_ngram_jaccard_join": (op2_ngram_jaccard_join, None),
@@ -100,4 +107,5 @@ CASES = {
     "op8_line_dedup": (op8_line_dedup, None),
     "op9_language_id": (op9_language_id, None),
     "op10_benchmark_decontamination": (op10_benchmark_decontamination, OP10_SQL),
+    "op11_power_of_two_packing": (op11_power_of_two_packing, None),
 }
