@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from masklake.llm import classlm, decontaminate, exactdedup, language, linededup, mixing, ngramjoin, packing, personal, secrets, tokencount
+from masklake.llm import classlm, decontaminate, divergence, exactdedup, language, linededup, mixing, ngramjoin, packing, personal, secrets, tokencount
 from masklake.llm.common import crc_bucket
 
 
@@ -96,6 +96,33 @@ def op11_power_of_two_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.report(packing.pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op12_source_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    return divergence.audit(table(spark, sf, "documents"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^ -@[-`{-]+') AS w FROM documents),
+tok AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM tok GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+grp AS (SELECT DISTINCT lang, source FROM d),
+cnt AS (SELECT lang, source, term, count(*) AS n FROM tok GROUP BY ALL),
+dense AS (SELECT lang, source, term, coalesce(cnt.n, 0) AS n, kept.n AS ln FROM grp JOIN kept USING (lang) LEFT JOIN cnt USING (lang, source, term)),
+p AS (SELECT lang, source, term, n,
+  CAST(1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER g + count(*) OVER g) AS BIGINT) AS p,
+  CAST(1 + (1000000000::HUGEINT * (ln + 1)) // (sum(ln) OVER g + count(*) OVER g) AS BIGINT) AS q
+  FROM dense WINDOW g AS (PARTITION BY lang, source)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM p WHERE n > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM pairs
+UNION ALL
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM terms) WHERE rank <= 200
+"""
+
 CASES = {
     "op1_exact_dedup": (op1_exact_dedup, OP1_SQL),
     "op2_ngram_jaccard_join": (op2_ngram_jaccard_join, None),
@@ -108,4 +135,5 @@ CASES = {
     "op9_language_id": (op9_language_id, None),
     "op10_benchmark_decontamination": (op10_benchmark_decontamination, OP10_SQL),
     "op11_power_of_two_packing": (op11_power_of_two_packing, None),
+    "op12_source_divergence": (op12_source_divergence, OP12_SQL),
 }
