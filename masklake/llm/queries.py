@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from masklake.llm import classlm, decontaminate, divergence, exactdedup, language, linededup, mixing, ngramjoin, packing, personal, secrets, tokencount
+from masklake.llm import centroids, classlm, decontaminate, divergence, exactdedup, language, linededup, mixing, ngramjoin, packing, personal, secrets, tokencount
 from masklake.llm.common import crc_bucket
 
 
@@ -103,7 +103,7 @@ def op12_source_divergence(spark: SparkSession, sf: str) -> DataFrame:
 OP12_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[^ -@[-`{-]+') AS w FROM documents),
+    '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
 tok AS (SELECT r, lang, source, unnest(w) AS term FROM d),
 kept AS (SELECT lang, term, count(*) AS n FROM tok GROUP BY ALL HAVING count(DISTINCT r) >= 3),
 grp AS (SELECT DISTINCT lang, source FROM d),
@@ -123,6 +123,33 @@ UNION ALL
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM terms) WHERE rank <= 200
 """
 
+def op13_pivot_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    return centroids.report(*centroids.cluster(table(spark, sf, "embeddings"))).drop("exact")
+
+
+def _clusters_sql(rounds: int = centroids.ROUNDS, clusters: int = centroids.CLUSTERS) -> str:
+    """Plain assignment of every vector to every centroid, round by round."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""d{k} AS (SELECT r, vec_id, v.v, c, list_sum(list_transform(list_zip(v.v, c{k}.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM v, c{k}),
+a{k} AS (SELECT r, any_value(vec_id) AS vec_id, any_value(v) AS v, CAST(min(d * {clusters} + c) % {clusters} AS INTEGER) AS c, CAST(min(d * {clusters} + c) // {clusters} AS BIGINT) AS d FROM d{k} GROUP BY r)""")
+        if k < rounds:
+            steps.append(f"""s{k} AS (SELECT c, i, sum(v[i]) AS s, count(*) AS n FROM a{k}, range(1, 65) t(i) GROUP BY c, i),
+n{k} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM s{k} GROUP BY c),
+c{k + 1} AS (SELECT c{k}.c, coalesce(n{k}.v, c{k}.v) AS v FROM c{k} LEFT JOIN n{k} USING (c))""")
+    return f"""
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v FROM (SELECT sha256('1:' || vec_id) AS h, v FROM v ORDER BY h LIMIT {clusters})),
+{", ".join(steps)}
+SELECT vec_id, c AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (c)
+"""
+
+
+OP13_SQL = _clusters_sql()
+
 CASES = {
     "op1_exact_dedup": (op1_exact_dedup, OP1_SQL),
     "op2_ngram_jaccard_join": (op2_ngram_jaccard_join, None),
@@ -136,4 +163,5 @@ CASES = {
     "op10_benchmark_decontamination": (op10_benchmark_decontamination, OP10_SQL),
     "op11_power_of_two_packing": (op11_power_of_two_packing, None),
     "op12_source_divergence": (op12_source_divergence, OP12_SQL),
+    "op13_pivot_clusters": (op13_pivot_clusters, OP13_SQL),
 }
