@@ -96,8 +96,9 @@ class PatternSet:
         return b" ".join(words.word(i) for i in range(begin, begin + self.length)) == self.bytes[k]
 
 
-def build_patterns(items: list[tuple[str, str]], window: int = WINDOW) -> tuple[list[PatternSet], list[str]]:
-    """Pattern sets of (item id as text, text) rows, by length, and the item ids that their numbers mean."""
+def build_patterns(items: list[tuple[str | None, str]], window: int = WINDOW) -> tuple[list[PatternSet], list[str]]:
+    """Pattern sets of (item id as text, text) rows, by length, and the distinct item ids that their numbers mean; rows without id have none."""
+    ids = {k: n for n, k in enumerate(dict.fromkeys(k for k, _ in items if k is not None))}
     words = Words(pa.array([t for _, t in items], pa.large_string()), ALNUM)
     by_length: dict[int, dict[bytes, tuple[list[int], np.ndarray]]] = {}
     for i in range(len(items)):
@@ -106,9 +107,10 @@ def build_patterns(items: list[tuple[str, str]], window: int = WINDOW) -> tuple[
         for s in range(a, b - m + 1) if m else ():
             key = b" ".join(words.word(j) for j in range(s, s + m))
             known = by_length.setdefault(m, {}).setdefault(key, ([], words.hash[s:s + m]))[0]
-            if not known or known[-1] != i:
-                known.append(i)
-    return [PatternSet(m, w) for m, w in sorted(by_length.items())], [k for k, _ in items]
+            number = ids.get(items[i][0])
+            if number is not None and number not in known[-1:]:
+                known.append(number)
+    return [PatternSet(m, w) for m, w in sorted(by_length.items())], list(ids)
 
 
 def _hits(docs: DataFrame, items: list[tuple[str, str]], window: int) -> DataFrame:
@@ -155,13 +157,13 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     """Per document: doc_id, n_words, spans [first word, end) that occurrences cover, items (sorted ids as text).
 
     Null or empty texts have no words and no hits. Rows are kept one for one at every size of the benchmark, repeated rows and those
-    without a doc_id too. Items without words are never found; items of the same
-    text are all reported. Other columns of either table are not read.
+    without a doc_id too. Items without words are never found; items of the same text are all reported. Rows that repeat an item_id are one
+    item with the windows of all their texts; windows of a row without item_id are hits that name no item. Other columns of either table are
+    not read.
     """
     bound_batches(docs.sparkSession)
     docs = id_and_text(docs)
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    items = items.where(F.col("item_id").isNotNull())
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = -(-total // block_bytes) or 1
     if n == 1:
@@ -169,7 +171,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     docs = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "numbered-documents")
     every = None
     for b in range(n):
-        part = _hits(docs, [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b).collect()], window)
+        part = _hits(docs, [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()], window)
         # the first pass has a row for each document, the others need those with hits only
         part = materialize(part if every is None else part.where(F.size("spans") > 0), "benchmark-hits")
         every = part if every is None else every.unionByName(part)

@@ -34,6 +34,24 @@ def test_decontamination_keeps_rows_one_for_one_in_blocks(spark):
         assert Counter((r.doc_id, r.n_words, tuple(map(tuple, r.spans)), tuple(r["items"])) for r in got) == want
 
 
+def test_decontamination_with_repeated_and_missing_item_ids(spark, tmp_path):
+    import duckdb
+
+    from masklake.llm.queries import OP10_SQL
+
+    rows = [(1, "zero two three four"), (2, "five six seven"), (3, "two three five six"), (4, "eight"), (5, None)]
+    items = [("A", "two three"), ("A", "two three"), ("A", "three four"), (None, "five six"), (None, "eight"), ("B", "six seven"), ("C", None)]
+    docs, benchmark = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id string, text string")
+    con = duckdb.connect()
+    for name, df in (("documents", docs), ("benchmark", benchmark)):
+        df.write.parquet(str(tmp_path / name))
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path / name}/*.parquet'")
+    want = sorted(con.execute(f"SELECT doc_id, n_words, n_hit, n_items, items_sha256, contaminated FROM ({OP10_SQL})").fetchall())
+    assert [w[2:4] for w in want] == [(3, 1), (3, 1), (4, 1), (1, 0), (0, 0)]
+    for bound in (1 << 20, 150):
+        assert sorted(map(tuple, decontaminate.report(decontaminate.find_benchmark(docs, benchmark, block_bytes=bound)).collect())) == want
+
+
 def test_pipeline_stages_with_null_and_repeated_ids(spark, tmp_path):
     import corpus_pipeline as P
 
