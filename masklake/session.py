@@ -66,7 +66,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 _written: list[tuple[str, str]] = []
 
 
-def _delete(spark: SparkSession, paths: list[str]) -> None:
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders of the shared file system."""
     for path in paths:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
@@ -82,7 +83,7 @@ def discard(*tables: DataFrame) -> None:
     """Delete tables that `materialize` returned and that no later result reads any more, and `forget` finished jobs."""
     paths = [t._written_path for t in tables]
     for spark in {t.sparkSession for t in tables}:
-        _delete(spark, paths)
+        delete(spark, paths)
     _written[:] = [w for w in _written if w[1] not in paths]
     for spark in {t.sparkSession for t in tables}:
         forget(spark)
@@ -99,5 +100,5 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         mine = [w for w in _written if w not in before and w[0] == spark.sparkContext.applicationId]
-        _delete(spark, [path for _, path in mine])
+        delete(spark, [path for _, path in mine])
         _written[:] = [w for w in _written if w not in mine]
