@@ -74,3 +74,35 @@ def test_pipeline_stages_with_null_and_repeated_ids(spark, tmp_path):
     assert not Counter((r.doc_id, r.text) for r in mixed) - Counter((i, t) for i, t, *_ in rows) and any(r.doc_id is None for r in mixed)
     again = P.mix_sources(spark, df.repartition(2), str(tmp_path)).collect()
     assert sorted(map(repr, again)) == sorted(repr(r).replace(f", words={r.words})", ")") for r in mixed)
+
+
+def test_pipeline_keeps_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline as P
+
+    rng = random.Random(4)
+    names = ["_id", "place", "copies", "lines_removed", "lang_pred", "lang_score", "row", "kept0", "class_id", "size", "spans", "items", "key"]
+    words = [f"{a}{b}" for a in ("lorem", "dolor", "amet", "elit") for b in ("us", "is", "or", "et", "um")]
+    prose = lambda n: " ".join(rng.choice(words) + rng.choice(words) for _ in range(n))
+    base = prose(60)
+    texts = [prose(50) + "\n" + (base.split()[0] if k % 9 else base) for k in range(40)] + [base, base + " end", prose(3), "Hi"]
+    for repeated in (False, True):
+        rows = [(None if repeated and k == 5 else 3 if repeated and k == 7 else k, t, "en", f"s{k % 3}", len(t), *[f"{n}-{k}" for n in names]) for k, t in enumerate(texts)]
+        schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{n} string" for n in names)
+        path = tmp_path / str(repeated)
+        spark.createDataFrame(rows, schema).write.parquet(str(path / "documents.parquet"))
+        spark.createDataFrame([(1, " ".join(texts[4].split()[5:30]))], "item_id bigint, text string").write.parquet(str(path / "benchmark.parquet"))
+        docs, own = spark.read.parquet(str(path / "documents.parquet")), {r[5]: r for r in rows}
+        for k, (_, stage) in enumerate(P.STAGES):
+            stage(spark, docs, str(path)).write.parquet(str(path / f"stage{k}"))
+            docs = spark.read.parquet(str(path / f"stage{k}"))
+            got = docs.collect()
+            assert got and len({r["_id"] for r in got}) == len(got)
+            last = k == len(P.STAGES) - 1
+            assert docs.columns == ([c for c in schema.replace(" string", "").replace(" bigint", "").split(", ") if not (last and c == "copies")] + ["copies"] * last)
+            for r in got:
+                want = own[r["_id"]]
+                assert r.doc_id == want[0] and all(r[n] == want[5 + j] for j, n in enumerate(names) if not (last and n == "copies"))
+            if k == 0:
+                assert {len(texts) - 1, len(texts) - 2} <= {int(r["_id"].split("-")[1]) for r in got}
+        assert own["_id-4"][1] not in {r.text for r in got}
+        assert sorted(map(repr, P.run(spark, str(path)).collect())) == sorted(map(repr, got))
