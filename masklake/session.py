@@ -62,6 +62,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def written_bytes(table: DataFrame) -> int:
+    """Bytes of the files of a table that `materialize` returned."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table._written_path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+
 #: Tables that `materialize` wrote and nobody discarded yet: (application, path).
 _written: list[tuple[str, str]] = []
 
