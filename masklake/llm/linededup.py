@@ -22,18 +22,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from masklake.llm.common import components
-from masklake.session import discard, forget, materialize
+from masklake.session import discard, forget, materialize, written_bytes
 
 WIDTH = 5
 THRESHOLD = 0.8
 BLOCK = 64
-#: A screening table with at most so many rows (of one number, or two) is sent to all tasks; a larger one is joined by shuffle.
-SMALL_ROWS = 400_000
+#: A screening table whose files have at most so many bytes is sent to all tasks; a larger one is joined by shuffle, with the same rows.
+SMALL_BYTES = 8 << 20
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """`df`, a written table, with a broadcast hint if its counted size is within the bound."""
-    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+    """`df`, a written table, with a broadcast hint if the measured size of its files is within the bound."""
+    return F.broadcast(df) if written_bytes(df) <= SMALL_BYTES else df
 
 
 def _need(n: Column, other: Column, threshold: float) -> Column:
@@ -48,14 +48,11 @@ def _prefix_length(n: Column, threshold: float) -> Column:
 def token_sets(lines: DataFrame, width: int) -> DataFrame:
     """`lines` that have words, with `tokens` (distinct hashes of runs of words, ascending; one of all words for a line of fewer) in place of `line`."""
     lines = lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    words = F.transform(F.split(F.trim(F.regexp_replace(F.lower("line"), r"[\x09-\x0D]", " ")), r"\x20+"), lambda w: F.xxhash64(w))
-    out, length = lines.withColumn("runs", words).drop("line"), 1
-    out = out.withColumn("whole", F.when(F.size("runs") < width, F.array(F.xxhash64(F.lit(width), "runs"))))
-    while length < width:  # a run of words is two shorter ones, the second shifted; a column of its own is computed once
-        step = min(length, width - length)
-        count = F.greatest(F.size("runs") - step, F.lit(0))
-        out = out.withColumn("runs", F.zip_with(F.slice("runs", F.lit(1), count), F.slice("runs", F.lit(1 + step), count), lambda x, y: F.xxhash64(x, y)))
-        length += step
+    words = F.array_remove(F.split(F.regexp_replace(F.lower("line"), r"[\x09-\x0D]", " "), " "), "")
+    out = lines.withColumn("w", F.transform(words, lambda w: F.xxhash64(w))).drop("line")  # a column of its own is computed once
+    count = F.greatest(F.size("w") - (width - 1), F.lit(0))
+    runs = F.transform(F.slice("w", F.lit(1), count), lambda x, i: F.xxhash64(x, *[F.get("w", i + k) for k in range(1, width)]))
+    out = out.withColumn("whole", F.when(F.size("w") < width, F.array(F.xxhash64(F.lit(width), "w")))).withColumn("runs", runs)
     return out.select("doc_id", "line_no", F.coalesce("whole", F.sort_array(F.array_distinct("runs"))).alias("tokens"))
 
 
