@@ -333,6 +333,21 @@ def union_biou(spark, sf):
     return out.select("image_id", "pred_px", "gt_px", F.round("biou", 9).alias("biou"))
 
 
+def _shape_biou(spark, sf):
+    return boundary.union_boundary_iou(spark_view(spark, sf, "fx_images"), inputs.shaped_slabs(inputs.pred_slabs(spark, sf), "pred_id"),
+                                       inputs.shaped_slabs(inputs.gt_slabs(spark, sf), "gt_id"))
+
+
+def shape_biou(spark, sf):
+    """Union boundary IoU of L-shapes and rings."""
+    return _shape_biou(spark, sf).select("image_id", "pred_px", "gt_px", F.round("biou", 9).alias("biou"))
+
+
+def mean_biou(spark, sf):
+    out = boundary.mean_boundary_iou(_shape_biou(spark, sf))
+    return out.select("images", "scored", F.round("mean_biou", 9).alias("mean_biou"), F.round("area_biou", 9).alias("area_biou"))
+
+
 def f1_best(spark, sf):
     preds, gts = inputs.pred_slabs(spark, sf), inputs.gt_slabs(spark, sf)
     curve = recall.f1_sweep(preds, preds, gts, spark_view(spark, sf, "fx_images"),
@@ -497,6 +512,9 @@ def biou_ctes(images: str = "fx_images", score: float | None = None) -> str:
             + BITS.replace("{images}", images))
 
 
+SHAPE_BIOU = (f"shape_boxes AS MATERIALIZED (SELECT 'p' AS side, image_id, b FROM {inputs.shapes_sql('fx_pred', 'pred_id')} q SEMI JOIN fx_images USING (image_id) UNION ALL "
+              f"SELECT 'g', image_id, b FROM {inputs.shapes_sql('fx_gt', 'ann_id')} q SEMI JOIN fx_images USING (image_id)),"
+              "boxes AS MATERIALIZED (SELECT side, image_id, b[1] AS x, b[2] AS y, b[3] AS w, b[4] AS h FROM shape_boxes)," + BITS.replace("{images}", "fx_images"))
 DENSE = "(SELECT image_id, count(*) AS n_gt FROM fx_gt GROUP BY 1 HAVING count(*) >= 5)"
 SWEEP = " UNION ALL ".join(f"SELECT CAST({b} AS BIGINT) AS band" for b in boundary.SWEEP_BANDS)
 REC_WON = (f"WITH RECURSIVE {PLAIN_MET}, half AS MATERIALIZED (SELECT image_id, pred_id, gt_id, CAST(score AS FLOAT) AS score, score AS exact, iou FROM ("
@@ -580,6 +598,10 @@ CASES = {
         FROM fx_pred p LEFT JOIN bands b ON b.image_id = p.image_id AND b.pred_id = p.pred_id""", "fx_pred", "fx_gt")),
     "bio2_union_boundary_iou": (union_biou, oracle(
         f"WITH {biou_ctes()} SELECT image_id, pred_px, gt_px, round(biou, 9) AS biou FROM biou", "fx_images", "fx_pred", "fx_gt")),
+    "bio2_union_of_shapes": (shape_biou, oracle(
+        f"WITH {SHAPE_BIOU} SELECT image_id, pred_px, gt_px, round(biou, 9) AS biou FROM biou", "fx_images", "fx_pred", "fx_gt")),
+    "bio2_mean": (mean_biou, oracle(f"""WITH {SHAPE_BIOU} SELECT count(*) AS images, count(*) FILTER (WHERE pred_px + gt_px > 0) AS scored,
+        round(avg(biou), 9) AS mean_biou, round(avg(biou) FILTER (WHERE pred_px + gt_px > 0), 9) AS area_biou FROM biou""", "fx_images", "fx_pred", "fx_gt")),
     "f1s_best_threshold": (f1_best, oracle(f"""{SCORE_WON},
         rows_ AS (SELECT p.score, CASE WHEN w.pred_id IS NULL THEN 0 ELSE 1 END AS hit FROM fx_pred p LEFT JOIN won w
                   ON w.image_id = p.image_id AND w.pred_id = p.pred_id SEMI JOIN fx_images i ON i.image_id = p.image_id),
