@@ -111,6 +111,23 @@ def improvements(spark, sf):
     return runs.best_so_far(series, ["run"]).select("run", "epoch", "name", "value", "improved")
 
 
+def _long_series(spark, sf):
+    """Two runs with every event as an epoch; the watched metric changes now and then, one run holds most rows."""
+    e = spark_view(spark, sf, "events")
+    return e.select(F.when(F.col("user_id") % 5 == 0, "b").otherwise("a").alias("run"), F.col("event_id").alias("epoch"),
+                    F.concat(F.lit("m"), F.floor(F.col("event_id") / 1300) % 4).alias("name"), F.floor(F.col("value") * 10).alias("value"),
+                    F.when(F.floor(F.col("event_id") / 1300) % 4 == 2, "min").otherwise("max").alias("mode"))
+
+
+def long_improvements(spark, sf):
+    return runs.best_so_far(_long_series(spark, sf), ["run"]).select("run", "epoch", "name", "value", "improved")
+
+
+def forward(spark, sf):
+    log = spark_view(spark, sf, "events").select(F.col("event_type").alias("run"), "event_id", F.floor(F.col("value") * 100).alias("epoch"))
+    return runs.forward_rows(log, ["run"], ["event_id"])
+
+
 def renamed(spark, sf):
     names = spark.createDataFrame([("purchase", "val_AP", 0), ("error", "val_loss", 1)], "name string, display string, position int")
     rows = _log(spark, sf).withColumn("value", F.when(F.col("epoch") % 9 == 0, F.lit("n/a")).otherwise(F.col("value").cast("string")))
@@ -170,6 +187,13 @@ CASES = {
         SELECT *, CASE WHEN name IS DISTINCT FROM lag(name) OVER (PARTITION BY run ORDER BY epoch) THEN 1 ELSE 0 END AS n FROM prim) q)
         SELECT run, epoch, name, value, coalesce(CASE WHEN mode = 'min' THEN value < min(value) OVER w ELSE value > max(value) OVER w END, true) AS improved
         FROM s WINDOW w AS (PARTITION BY run, g ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""", "fx_metric_log")),
+    "log4_long_runs": (long_improvements, """WITH s AS (SELECT CASE WHEN user_id % 5 = 0 THEN 'b' ELSE 'a' END AS run, event_id AS epoch,
+        event_id // 1300 % 4 AS k, CAST(floor(value * 10) AS BIGINT) AS value FROM events),
+        t AS (SELECT *, sum(n) OVER (PARTITION BY run ORDER BY epoch) AS g FROM (SELECT *, CASE WHEN k IS DISTINCT FROM lag(k) OVER (PARTITION BY run ORDER BY epoch) THEN 1 ELSE 0 END AS n FROM s) q)
+        SELECT run, epoch, 'm' || k AS name, value, coalesce(CASE WHEN k = 2 THEN value < min(value) OVER w ELSE value > max(value) OVER w END, true) AS improved
+        FROM t WINDOW w AS (PARTITION BY run, g ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""),
+    "log4_forward_rows": (forward, """SELECT run, event_id, epoch FROM (SELECT *, max(epoch) OVER (PARTITION BY run ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high
+        FROM (SELECT event_type AS run, event_id, CAST(floor(value * 100) AS BIGINT) AS epoch FROM events) e) q WHERE high IS NULL OR epoch > high"""),
     "log5_renamed_metrics": (renamed, oracle("""SELECT run, source_priority, epoch, CASE name WHEN 'purchase' THEN 'val_AP' ELSE 'val_loss' END AS name, value,
         CAST(CASE name WHEN 'purchase' THEN 0 ELSE 1 END AS BIGINT) AS position FROM fx_metric_log WHERE name IN ('purchase', 'error') AND epoch % 9 <> 0""", "fx_metric_log")),
     "log6_run_summary": (summary, oracle("WITH " + MERGED + """ SELECT run, name, count(*) AS entries, max(epoch) AS latest_epoch, arg_max(value, epoch) AS latest_value,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from masklake.operators.prefix import best_before
 
 # Provenance fields that two comparable runs must share.
 COMPARABILITY_FIELDS = ["device_name", "amp_dtype", "bf16_supported", "tile_policy", "tile_px", "overlap_px", "resolution",
@@ -139,15 +139,21 @@ def primary_metric(metrics: DataFrame, priorities: DataFrame, keys: list[str]) -
 def best_so_far(series: DataFrame, keys: list[str]) -> DataFrame:
     """Marks rows that improve strictly on all earlier ones of the same metric; a changed metric starts anew.
 
-    `series(keys, epoch, name, value, mode)`.
+    `series(keys, epoch, name, value, mode)`; one run may be spread over all ranges of its epochs.
     """
-    order = Window.partitionBy(*keys).orderBy("epoch")
     signed = F.when(F.col("mode") == "min", -F.col("value")).otherwise(F.col("value"))
-    runs = (series.withColumn("_new", (~F.col("name").eqNullSafe(F.lag("name").over(order))).cast("int"))
-            .withColumn("_stretch", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))))
-    inner = Window.partitionBy(*keys, "_stretch").orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
-    return (runs.withColumn("_best", F.max(signed).over(inner))
-            .withColumn("improved", F.col("_best").isNull() | (signed > F.col("_best"))).drop("_new", "_stretch", "_best"))
+    scanned = best_before(series, keys, [F.col("epoch")], F.col("name"), signed, "_best")
+    return scanned.withColumn("improved", F.col("_best").isNull() | (signed > F.col("_best"))).drop("_best")
+
+
+def forward_rows(log: DataFrame, keys: list[str], arrival: list[str], epoch: str = "epoch") -> DataFrame:
+    """Rows whose epoch exceeds every earlier one of the same keys, in the order of arrival; repeats and regressions go.
+
+    The batch form of `streaming.forward_progress` with one row to a batch; rows without an epoch go.
+    """
+    some = log.where(F.col(epoch).isNotNull())
+    scanned = best_before(some, keys, [F.col(c) for c in arrival], F.lit(0), F.col(epoch), "_high")
+    return scanned.where(F.col("_high").isNull() | (F.col(epoch) > F.col("_high"))).drop("_high")
 
 
 def rename_metrics(metrics: DataFrame, names: DataFrame) -> DataFrame:

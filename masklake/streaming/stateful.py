@@ -75,14 +75,13 @@ def forward_progress(stream: DataFrame) -> DataFrame:
     """
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         high = state.get[0] if state.exists else -1
-        for batch in batches:
-            fresh = sorted({int(e) for e in batch["epoch"] if e > high})
-            if fresh:
-                high = fresh[-1]
-                yield pd.DataFrame({"run": [key[0]] * len(fresh), "epoch": fresh})
-        state.update((high,))
+        fresh: set[int] = set()
+        for batch in batches:  # the pieces of a micro-batch come in no order
+            fresh.update(int(e) for e in batch["epoch"].dropna().unique() if e > high)
+        if fresh:
+            state.update((max(fresh),))
+            yield pd.DataFrame({"run": [key[0]] * len(fresh), "epoch": sorted(fresh)})
 
-    # Spark may hand a micro-batch over in pieces, so a piece is reduced to its epochs before it counts.
     slim = stream.select("run", "epoch")
     return slim.groupBy("run").applyInPandasWithState(
         update, "run string, epoch bigint", "high bigint", "append", STATE_TIMEOUT.NoTimeout)
