@@ -6,7 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from masklake.catalog.fixtures import oracle, spark_view
+from masklake.catalog import inputs
+from masklake.catalog.evaluation import nms_oracle
+from masklake.catalog.fixtures import CANVAS, oracle, spark_view
 from masklake.operators import tiling
 from masklake.session import checkpoint_root
 from masklake.sources import coco
@@ -48,6 +50,20 @@ def finished_images(spark, sf):
     return _drain(stateful.window_progress(stream, timeout=None), root)
 
 
+def suppressed_images(spark, sf):
+    """Suppression of every image once its windows are in; every 20th image misses one and stays out. The stream is resumed once."""
+    grid = tiling.tile_grid(spark_view(spark, sf, "fx_images"), 256, 64)
+    done = grid.where("NOT (image_id % 20 = 0 AND window_id = 'r2_c2')").select("image_id", "window_id", F.lit(9).cast("bigint").alias("n_windows"))
+    root = f"{checkpoint_root(spark)}/settled-{uuid.uuid4().hex}"
+    instances = inputs.pred_slabs(spark, sf).select("image_id", "pred_id", "score", "c0", "c1", "r0", "r1")
+    for part in ("window_id < 'r1_c2'", "window_id >= 'r1_c2'"):
+        done.where(part).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(done.schema).parquet(f"{root}/in")
+        stateful.merge_settled(stateful.window_progress(stream, timeout=None), lambda: instances, f"{root}/out", f"{root}/state",
+                               dedup_iou=0.5, extent=CANVAS).awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("image_id", "pred_id", F.round("score", 9).alias("score"), "complete")
+
+
 def log_progress(spark, sf):
     """Every row that a log gains, over three attempts that are written one after the other while the stream resumes."""
     log = spark_view(spark, sf, "fx_metric_log")
@@ -78,6 +94,7 @@ def identity(spark, sf):
 CASES = {
     "str1_partial_output": (partial_output, oracle("SELECT image_id, count(*) AS n FROM fx_pred GROUP BY 1", "fx_pred")),
     "str2_finished_images": (finished_images, oracle("""SELECT image_id, CAST(9 AS BIGINT) AS windows, true AS complete FROM fx_images WHERE image_id % 20 <> 0""", "fx_images")),
+    "str2_suppressed_images": (suppressed_images, f"SELECT *, true AS complete FROM ({nms_oracle(0.5, '>=', 'ASC')}) q WHERE image_id % 20 <> 0"),
     "str3_log_progress": (log_progress, oracle("""WITH high AS (SELECT run, source_priority AS a, max(epoch) AS high FROM fx_metric_log GROUP BY 1, 2)
         SELECT DISTINCT l.run, l.epoch FROM fx_metric_log l
         WHERE l.epoch > coalesce((SELECT max(high) FROM high h WHERE h.run = l.run AND h.a < l.source_priority), -1)""", "fx_metric_log")),

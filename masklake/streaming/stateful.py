@@ -8,6 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from masklake.operators import suppression
+from masklake.session import discard, materialize
 
 STATE_TIMEOUT = GroupStateTimeout
 
@@ -31,41 +35,98 @@ def complete_images(instances: DataFrame, windows: DataFrame) -> DataFrame:
     return planned.join(seen, "image_id").where("seen >= planned").select("image_id")
 
 
+class WindowTracker(StatefulProcessor):
+    """Follows the windows of an image: a map of those seen, their number, and a flag that stays once the image is settled.
+
+    A window costs one look-up in the map, however many the image has. A window that comes again, or after its image is settled, changes nothing.
+    """
+
+    def __init__(self, wait_ms: int | None):
+        self.wait_ms = wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getMapState("seen", "window_id string", "seen boolean")
+        self.counts = handle.getValueState("counts", "seen bigint, planned bigint")
+        self.settled = handle.getValueState("settled", "complete boolean")
+
+    def _settle(self, key: tuple, number: int, complete: bool) -> pd.DataFrame:
+        self.seen.clear()
+        self.counts.clear()
+        self.settled.update((complete,))
+        return pd.DataFrame({"image_id": [key[0]], "windows": [number], "complete": [complete]})
+
+    def _no_timers(self) -> None:
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if self.settled.exists():
+            return
+        number, planned = self.counts.get() if self.counts.exists() else (0, 0)
+        for batch in rows:
+            planned = max(planned, int(batch["n_windows"].max()))
+            for window in batch["window_id"].dropna().unique():
+                if not self.seen.containsKey((window,)):
+                    self.seen.updateValue((window,), (True,))
+                    number += 1
+        if self.wait_ms:
+            self._no_timers()
+        if planned and number >= planned:
+            yield self._settle(key, number, True)
+            return
+        self.counts.update((number, planned))
+        if self.wait_ms:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.settled.exists() or not self.counts.exists():
+            return
+        yield self._settle(key, self.counts.get()[0], False)
+
+    def close(self) -> None:
+        pass
+
+
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def window_progress(stream: DataFrame, timeout: str | None = "10 minutes") -> DataFrame:
-    """Emits an image when all its windows have arrived, or as incomplete when none came for `timeout`
+    """Emits an image once: when all its windows have arrived, or as incomplete when none came for `timeout` of processing time
     (None waits without end, and lets a query over finished input end).
 
-    `stream(image_id, window_id, n_windows)` has one row per finished window. The state of an image is the set of
-    window ids seen, bounded by its tile plan; instances themselves stay in the run table and are merged from there.
+    `stream(image_id, window_id, n_windows)` has one row per finished window. The state of an image is a map over its window ids, bounded by its
+    tile plan, and afterwards one flag; instances themselves stay in the run table and are merged from there. Maps and timers need the
+    state store in RocksDB, which is set for the session.
     """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     wait_ms = int(pd.Timedelta(timeout).total_seconds() * 1000) if timeout else None
+    slim = stream.select("image_id", F.col("window_id").cast("string").alias("window_id"), F.col("n_windows").cast("bigint").alias("n_windows"))
+    return slim.groupBy("image_id").transformWithStateInPandas(
+        WindowTracker(wait_ms), "image_id bigint, windows bigint, complete boolean", "append", "ProcessingTime" if timeout else "None")
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, total = (set(state.get[0]), state.get[1]) if state.exists else (set(), 0)
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({"image_id": [key[0]], "windows": [len(seen)], "complete": [False]})
-            return
-        for batch in batches:
-            seen |= set(batch["window_id"])
-            total = int(batch["n_windows"].max())
-        if total and len(seen) >= total:
-            state.remove()
-            yield pd.DataFrame({"image_id": [key[0]], "windows": [len(seen)], "complete": [True]})
-        else:
-            state.update((sorted(seen), total))
-            if wait_ms:
-                state.setTimeoutDuration(wait_ms)
-
-    return stream.groupBy("image_id").applyInPandasWithState(
-        update, "image_id bigint, windows bigint, complete boolean", "seen array<string>, total bigint", "append",
-        STATE_TIMEOUT.ProcessingTimeTimeout if timeout else STATE_TIMEOUT.NoTimeout)
-
-
-def merge_completed(progress: DataFrame, merge, checkpoint: str):
-    """Calls `merge(images)` with the finished images of each micro-batch."""
-    return (progress.writeStream.option("checkpointLocation", checkpoint).outputMode("append")
-            .foreachBatch(lambda batch, _: merge(batch.select("image_id", "complete"))).start())
+
+def merge_batch(settled: DataFrame, number: int, instances: DataFrame, path: str, *, dedup_iou: float, maxdets: int = 0, extent: int | None = None) -> None:
+    """Suppresses the instances of the images that one micro-batch settled, and writes the kept ones as that batch.
+
+    A batch that runs again overwrites its own folder, so a restart neither loses nor doubles an image.
+    """
+    images = materialize(settled.select("image_id", "complete").dropDuplicates(["image_id"]), "settled-images")
+    mine = instances.join(images, "image_id", "left_semi")
+    kept = suppression.suppress(mine, dedup_iou, maxdets=maxdets, extent=extent)
+    kept.join(images, "image_id").write.mode("overwrite").parquet(f"{path}/batch={number}")
+    discard(images)
+
+
+def merge_settled(progress: DataFrame, instances, path: str, checkpoint: str, once: bool = True, **limits):
+    """Writes to `path` the kept predictions `(image_id, pred_id, score, complete, batch)` of every image that `progress` settles.
+
+    `instances()` gives the run table `(image_id, pred_id, score, c0, c1, r0, r1)` as it is when a batch runs; all windows of a settled
+    image are in it by then. With `once` the query ends with its input; a query that waits for time-outs runs until it is stopped.
+    """
+    trigger = {"availableNow": True} if once else {"processingTime": "1 second"}
+    return (progress.writeStream.option("checkpointLocation", checkpoint).outputMode("append").trigger(**trigger)
+            .foreachBatch(lambda batch, number: merge_batch(batch, number, instances(), path, **limits)).start())
 
 
 def forward_progress(stream: DataFrame) -> DataFrame:
