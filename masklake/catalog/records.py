@@ -80,6 +80,21 @@ def gate_verdicts(spark, sf):
     return out.select("run", "role", "metric", r9("delta"), "minimum_delta", "passed")
 
 
+def _judged(spark, sf):
+    """Each declaration judges the run of its number."""
+    c = _criteria(spark, sf).withColumns({"run": F.concat(F.lit("run_"), F.col("declaration").cast("string")),
+                                          "minimum_delta": F.when(~F.isnan("minimum_delta"), F.col("minimum_delta"))})
+    return runs.judged(runs.deltas(spark_view(spark, sf, "fx_metrics"), "run_1"), c)
+
+
+def all_verdicts(spark, sf):
+    return _judged(spark, sf).select("declaration", "run", "role", "metric", r9("delta"), "minimum_delta", "passed")
+
+
+def all_decisions(spark, sf):
+    return runs.decisions(_judged(spark, sf))
+
+
 def _log(spark, sf):
     return spark_view(spark, sf, "fx_metric_log")
 
@@ -149,6 +164,9 @@ CRIT = """crit AS (SELECT k AS declaration, unnest([CASE WHEN k % 5 = 0 THEN 'no
       unnest(['Mask AP', CASE WHEN k % 11 = 0 THEN 'Mask AP' ELSE 'Bnd AP instance' END, CASE WHEN k % 17 = 0 THEN 'Speed' ELSE 'Mask AP_small' END]) AS metric,
       unnest([CASE WHEN k % 7 = 0 THEN 0.0 WHEN k % 5 = 0 THEN -0.01 ELSE 0.01 END::DOUBLE, CASE WHEN k % 13 = 0 THEN 0.1 ELSE -0.003 END::DOUBLE, -0.003::DOUBLE]) AS minimum_delta
       FROM (SELECT s_suppkey AS k FROM supplier) s)"""
+JUDGED = CRIT.replace("-0.003::DOUBLE])", "CASE WHEN k % 19 = 0 THEN NULL ELSE -0.003 END::DOUBLE])") + """, d AS (SELECT m.run, m.metric, m.value - b.value AS delta
+      FROM fx_metrics m JOIN fx_metrics b ON b.run = 'run_1' AND b.metric = m.metric), j AS (SELECT declaration, 'run_' || declaration AS run, role, crit.metric, delta, minimum_delta,
+      coalesce(delta >= minimum_delta, false) AS passed FROM crit LEFT JOIN d ON d.run = 'run_' || declaration AND d.metric = crit.metric)"""
 MERGED = """merged AS MATERIALIZED (SELECT run, name, epoch, max(source_priority) AS source_priority, arg_max(value, source_priority) AS value,
       count(DISTINCT value) > 1 AS conflict FROM fx_metric_log GROUP BY 1, 2, 3)"""
 PRIMARY = MERGED + """, prim AS MATERIALIZED (SELECT run, epoch, arg_min(name, p) AS name, arg_min(value, p) AS value, arg_min(mode, p) AS mode FROM (
@@ -179,6 +197,9 @@ CASES = {
     "gate4_verdicts": (gate_verdicts, oracle("WITH " + CRIT + """ SELECT m.run, role, m.metric, round(m.value - b.value, 9) AS delta, minimum_delta,
         m.value - b.value >= minimum_delta AS passed FROM fx_metrics m JOIN fx_metrics b ON b.run = 'run_1' AND b.metric = m.metric
         JOIN crit ON crit.metric = m.metric AND declaration = 1""", "fx_metrics")),
+    "gate4_all_declarations": (all_verdicts, oracle("WITH " + JUDGED + " SELECT declaration, run, role, metric, round(delta, 9) AS delta, minimum_delta, passed FROM j", "fx_metrics")),
+    "gate4_decisions": (all_decisions, oracle("WITH " + JUDGED + """ SELECT declaration, run, count(*) AS criteria, count(*) FILTER (WHERE NOT passed) AS failed,
+        bool_and(passed) AS accepted FROM j GROUP BY 1, 2""", "fx_metrics")),
     "log1_merged_logs": (merged_log, oracle("WITH " + MERGED + " SELECT run, name, epoch, source_priority, value, conflict FROM merged", "fx_metric_log")),
     "log2_ledger_summary": (ledger, """SELECT event_type AS action, count(*) AS entries, count(DISTINCT day(ts)) AS epochs, CAST(max(day(ts)) AS BIGINT) AS highest_epoch
         FROM events GROUP BY 1"""),

@@ -10,10 +10,15 @@ from masklake.operators import boundary, matching
 
 
 def merge_top(dumps: list[DataFrame], k: int, group: list[str] | None = None) -> DataFrame:
-    """Best `k` predictions per group after merging several producers' tables."""
+    """Best `k` predictions per group after merging several producers' tables.
+
+    A table that carries mask and box sizes (`mask_h, mask_w, w, h`) must not hold placeholder masks; the merge is refused if one does.
+    """
     merged = dumps[0]
     for dump in dumps[1:]:
         merged = merged.unionByName(dump)
+    if {"mask_h", "mask_w", "w", "h"} <= set(merged.columns) and not placeholder_masks(merged).isEmpty():
+        raise ValueError("a producer's masks are placeholders of one pixel; merge real masks")
     return matching.top_per_image(merged, k, group)
 
 

@@ -105,6 +105,24 @@ def verdicts(delta: DataFrame, criteria: DataFrame) -> DataFrame:
         F.coalesce(F.col("delta") >= F.col("minimum_delta"), F.lit(False)).alias("passed")))
 
 
+def judged(delta: DataFrame, criteria: DataFrame) -> DataFrame:
+    """Every criterion of every declaration against the run that it names: `(declaration, run, role, metric, delta, minimum_delta, passed)`.
+
+    `criteria(declaration, run, role, metric, minimum_delta)`. A metric that the run or its baseline lacks has no delta and fails, and so does a
+    criterion without a minimum.
+    """
+    known = delta.select("run", "metric", "delta")
+    return criteria.join(known, ["run", "metric"], "left").select(
+        "declaration", "run", "role", "metric", "delta", "minimum_delta",
+        F.coalesce(F.col("delta") >= F.col("minimum_delta"), F.lit(False)).alias("passed"))
+
+
+def decisions(judgements: DataFrame) -> DataFrame:
+    """One row for each declaration: `(declaration, run, criteria, failed, accepted)`; accepted when no criterion fails."""
+    return judgements.groupBy("declaration", "run").agg(
+        F.count(F.lit(1)).alias("criteria"), F.count_if(~F.col("passed")).alias("failed"), F.bool_and("passed").alias("accepted"))
+
+
 def merge_logs(log: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of several attempts merged by epoch: the highest `source_priority` wins, differing rows are flagged.
 
