@@ -7,9 +7,10 @@ overflows is split by the next bit of the key, and the directory doubles when th
 whose texts differ form a chain; a text joins the member of the chain whose bytes are equal, or extends the chain. A task
 holds the texts of one key and the keys of its range, never more.
 
-The buckets' entries are written to the shared checkpoint folder as the index (`write_index`), sorted by key, with one row for each distinct text:
-key, bucket (depth and prefix), place in the chain, digest, kept id, size. Documents take their answer from the index entries of more
-than one document by key and digest; all others are alone.
+The buckets' entries are written to the shared checkpoint folder as the index (`write_index`), bucket after bucket, with one row for each distinct text:
+key, bucket (depth and prefix), place in the chain, digest, kept id, size. The directory (`directory`) is a table that leads from each slot, the
+key's top bits up to the greatest depth, to a bucket. A document is looked up through it: its slot gives its bucket, and the bucket's chain for its key
+holds the member of its digest. The directory is about as long as there are buckets; its join is left to the measured sizes.
 """
 
 from __future__ import annotations
@@ -168,17 +169,41 @@ def buckets(index: DataFrame) -> DataFrame:
         "directory_slots", F.expr("shiftleft(1L, global_depth - depth)"))
 
 
-def dedup(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def directory(index: DataFrame) -> DataFrame:
+    """The directory: slot (the top `global_depth` bits of a key), depth and prefix of the bucket it leads to, global_depth."""
+    table = index.select("depth", "prefix").distinct()
+    deepest = table.agg(F.max("depth")).first()[0] or 0
+    # a bucket less deep than the directory is shared by neighbouring slots
+    first = F.expr(f"shiftleft(prefix, {deepest} - depth)")
+    slots_ = F.sequence(first, first + F.expr(f"shiftleft(1L, {deepest} - depth) - 1"))
+    return table.select(F.explode(slots_).alias("slot"), "depth", "prefix", F.lit(deepest).alias("global_depth"))
+
+
+def look_up(rows: DataFrame, directory: DataFrame, entries: DataFrame) -> DataFrame:
+    """`rows` (key, text_sha256, ...) with keep_id and group_size of their index entry, null where the bucket's chain has none.
+
+    A row whose slot the directory lacks belongs to no bucket and is refused.
+    """
+    deepest = directory.agg(F.max("global_depth")).first()[0] or 0
+    slot = F.shiftrightunsigned("key", 64 - deepest) if deepest else F.lit(0).cast("bigint")
+    placed = rows.withColumn("slot", slot).join(directory.drop("global_depth"), "slot", "left")
+    placed = placed.withColumn("depth", F.when(F.col("depth").isNull(), F.raise_error(F.lit("the directory has no bucket for a key")))
+                               .otherwise(F.col("depth")))
+    chain = entries.select("depth", "prefix", "key", "text_sha256", "keep_id", "group_size")
+    return placed.join(chain, ["depth", "prefix", "key", "text_sha256"], "left").drop("depth", "prefix", "slot")
+
+
+def dedup(docs: DataFrame, capacity: int = CAPACITY, key: Column | None = None) -> DataFrame:
     """One row for each document: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text, in UTF-8).
 
     Of equal normalised texts the smallest doc_id stays; a null id is larger than any other. A null text counts as empty, and empty texts are equal to each other. doc_id is a whole number and
     unique; rows that repeat a doc_id together with its text are all counted and all marked kept if that id is. Other columns
-    are not read. An empty table gives an empty result. Texts of any length are compared whole.
+    are not read. An empty table gives an empty result. Texts of any length are compared whole. `key` is that of `write_index`.
     """
-    index = write_index(docs, capacity=capacity).where("group_size > 1")
+    index = write_index(docs, key, capacity)
     rows = id_and_text(docs).select("doc_id", normalised(F.col("text")).alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("key"), F.sha2("text", 256).alias("text_sha256"))
-    joined = rows.join(index.select("key", "text_sha256", "keep_id", "group_size"), ["key", "text_sha256"], "left")
+    rows = rows.select("doc_id", (F.xxhash64("text") if key is None else key).alias("key"), F.sha2("text", 256).alias("text_sha256"))
+    joined = look_up(rows, directory(index), index.where("group_size > 1"))
     keep = F.when(F.col("keep_id").isNull(), F.col("doc_id").cast("bigint")).otherwise(F.nullif("keep_id", F.lit(NO_ID)))
     return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("bigint")).alias("group_size"),
                          F.col("doc_id").cast("bigint").eqNullSafe(keep).alias("kept"), "text_sha256")

@@ -81,6 +81,29 @@ def test_exact_dedup(docs, empty):
         want += [(i, keep, len(ids), i == keep, hashlib.sha256(t.encode()).hexdigest()) for i in ids]
     assert collected(exactdedup.dedup(docs, capacity=3)) == sorted(want, key=repr)
     assert exactdedup.dedup(empty).count() == 0
+    # colliding keys: the bucket and the chain still tell the texts apart
+    few = exactdedup.dedup(docs, capacity=2, key=F.shiftleft(F.length("text").cast("bigint") % 5, 61))
+    assert collected(few) == sorted(want, key=repr)
+
+
+def test_exact_dedup_needs_its_directory(spark):
+    rows = [(i, f"text {i % 90}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    index = exactdedup.write_index(df, capacity=4)
+    table = exactdedup.directory(index)
+    deepest = table.first()["global_depth"]
+    leads = {r.slot: (r.depth, r.prefix) for r in table.collect()}
+    assert len(leads) == table.count() and len(set(leads.values())) > 16
+    for e in index.collect():
+        assert leads[(e.key & (1 << 64) - 1) >> 64 - deepest] == (e.depth, e.prefix)
+    keys = df.select("doc_id", F.xxhash64("text").alias("key"), F.sha2("text", 256).alias("text_sha256"))
+    found = exactdedup.look_up(keys, table, index).collect()
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in found} == {i: (i % 90, 4 if i % 90 < 30 else 3) for i, _ in rows}
+    # slots that lead to a wrong bucket find nothing, and a slot that is missing is refused
+    wrong = table.withColumn("prefix", F.expr("prefix ^ 1"))
+    assert exactdedup.look_up(keys, wrong, index).where("keep_id IS NOT NULL").isEmpty()
+    with pytest.raises(Exception, match="no bucket"):
+        exactdedup.look_up(keys, table.where("slot % 2 = 0"), index).collect()
 
 
 def test_exact_index_splits_buckets_and_chains_collisions(spark):
