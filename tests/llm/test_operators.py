@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -452,14 +453,56 @@ def test_language(spark, docs, empty):
 
 
 def test_language_filters_hold_what_went_in(spark):
-    import numpy as np
-
     df = spark.createDataFrame([("aaaa bbbb", "l1"), ("cccc dddd", "l2")], "text string, lang string")
     filters = language.train(df)
     codes, bounds = language.grams(pa.array(["aaaa", "dddd", ""]))
     share = filters.contained(codes, bounds)
     assert share[0].argmax() == filters.languages.index("l1") and share[1].argmax() == filters.languages.index("l2")
-    assert np.diff(bounds).tolist() == [3, 3, 0]
+    assert np.diff(bounds).tolist() == [1, 1, 0]
+
+
+def brute_languages(train, texts):
+    """Shares of six-byte n-grams that each language's set contains, without filters; the most trained language first."""
+    def grams(text):
+        letters = re.sub(rb"[^a-z\x80-\xff]+", b" ", b" " + text.lower().encode() + b" ")
+        return [letters[i:i + 6] for i in range(len(letters) - 5)]
+
+    seen = defaultdict(list)
+    for text, lang in train:
+        if text is not None and lang is not None:
+            seen[lang] += grams(text)
+    order = sorted((k for k in seen if seen[k]), key=lambda k: (-len(seen[k]), k))
+    sets = [set(seen[k]) for k in order]
+    out = []
+    for text in texts:
+        mine = grams(text or "")
+        share = [sum(g in s for g in mine) / max(1, len(mine)) for s in sets]
+        best = max(range(len(order)), key=lambda k: share[k])
+        out.append((order[best], share[best]) if any(c.isalpha() for c in text or "") else ("und", 0.0))
+    return out
+
+
+@pytest.mark.parametrize("many", [1, 26])
+def test_language_against_sets(spark, docs, many):
+    """The filters decide as plain sets do, but for false positives; with many languages a cell has eight bytes."""
+    rows = [(k, t, f"{lang}{k % many}" if lang else None) for k, (_, t, lang, _) in enumerate(corpus())]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    train = [r for r in rows if r[0] % 3]
+    filters = language.train(df.where("doc_id % 3 != 0"))
+    assert filters.cells[0].dtype.itemsize == (1 if many == 1 else 8)
+    want = brute_languages([r[1:] for r in train], [r[1] for r in rows])
+    got = {r.doc_id: (r.lang_pred, r.lang_score) for r in language.identify(df, filters).collect()}
+    assert len(got) == len(rows)
+    away = [abs(got[k][1] - score) for k, (_, score) in enumerate(want)]
+    assert sum(away) / len(away) < 0.01 and max(away) < 0.2
+    assert sum(got[k][0] == lang for k, (lang, _) in enumerate(want)) >= 0.95 * len(want)
+    # no n-gram is ever left out: everything learned is found, also in a table far too small
+    small = language.train(df.where("doc_id % 3 != 0"), table_bytes=1 << 14)
+    codes, bounds = language.grams(pa.array([t.lower() for _, t, lang in train if t and lang]))
+    for f in (filters, small):
+        share = f.contained(codes, bounds)
+        some = np.flatnonzero(np.diff(bounds))
+        assert np.allclose([share[r, f.languages.index([x[2] for x in train if x[1] and x[2]][r])] for r in some], 1)
 
 
 def brute_contamination(rows, items):
