@@ -20,7 +20,7 @@ from masklake.session import checkpoint_root, delete, materialize, scratch
 
 #: A text whose best language contains a smaller share of its n-grams is not prose of any language that was learned.
 LEAST_SCORE = 0.2
-#: A text of fewer characters has too few n-grams to be rejected by their share.
+#: A text of fewer letters has too few n-grams to be rejected by their share.
 SHORTEST = 40
 _READ = ("text", "source", "lang")
 
@@ -51,7 +51,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     rows = Rows(docs, numbered=False)
     filters = language.train(docs.where(crc_bucket(F.col("doc_id"), 4) != 2))
     found = language.identify(rows.table.drop("doc_id"), filters)
-    return found.where((F.col("lang_pred") != "und") & ((F.col("lang_score") >= LEAST_SCORE) | (F.length("text") < SHORTEST))).select(*rows.back)
+    letters = F.length(F.regexp_replace("text", r"\P{L}+", ""))
+    return found.where((F.col("lang_pred") != "und") & ((F.col("lang_score") >= LEAST_SCORE) | (letters < SHORTEST))).select(*rows.back)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
