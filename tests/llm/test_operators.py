@@ -478,7 +478,8 @@ def brute_languages(train, texts):
         mine = grams(text or "")
         share = [sum(g in s for g in mine) / max(1, len(mine)) for s in sets]
         best = max(range(len(order)), key=lambda k: share[k])
-        out.append((order[best], share[best]) if any(c.isalpha() for c in text or "") else ("und", 0.0))
+        letters = any(c.isalpha() for c in text or "")
+        out.append((order[best], share[best], dict(zip(order, share, strict=True))) if letters else ("und", 0.0, {}))
     return out
 
 
@@ -487,22 +488,24 @@ def test_language_against_sets(spark, docs, many):
     """The filters decide as plain sets do, but for false positives; with many languages a cell has eight bytes."""
     rows = [(k, t, f"{lang}{k % many}" if lang else None) for k, (_, t, lang, _) in enumerate(corpus())]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
-    train = [r for r in rows if r[0] % 3]
+    train = [r for r in rows if r[0] % 3 and r[1] and r[2]]
     filters = language.train(df.where("doc_id % 3 != 0"))
     assert filters.cells[0].dtype.itemsize == (1 if many == 1 else 8)
     want = brute_languages([r[1:] for r in train], [r[1] for r in rows])
     got = {r.doc_id: (r.lang_pred, r.lang_score) for r in language.identify(df, filters).collect()}
     assert len(got) == len(rows)
-    away = [abs(got[k][1] - score) for k, (_, score) in enumerate(want)]
+    away = [abs(got[k][1] - score) for k, (_, score, _) in enumerate(want)]
     assert sum(away) / len(away) < 0.01 and max(away) < 0.2
-    assert sum(got[k][0] == lang for k, (lang, _) in enumerate(want)) >= 0.95 * len(want)
+    # many of these labels share their texts: a false positive may decide between languages that are nearly equal
+    assert sum(got[k][0] == best or share.get(got[k][0], 0) >= score - 0.05 for k, (best, score, share) in enumerate(want)) >= 0.98 * len(want)
+    assert many > 1 or sum(got[k][0] == w[0] for k, w in enumerate(want)) >= 0.95 * len(want)
     # no n-gram is ever left out: everything learned is found, also in a table far too small
     small = language.train(df.where("doc_id % 3 != 0"), table_bytes=1 << 14)
-    codes, bounds = language.grams(pa.array([t.lower() for _, t, lang in train if t and lang]))
+    codes, bounds = language.grams(pa.array([t.lower() for _, t, _ in train]))
     for f in (filters, small):
         share = f.contained(codes, bounds)
         some = np.flatnonzero(np.diff(bounds))
-        assert np.allclose([share[r, f.languages.index([x[2] for x in train if x[1] and x[2]][r])] for r in some], 1)
+        assert np.allclose([share[r, f.languages.index(train[r][2])] for r in some], 1)
 
 
 def brute_contamination(rows, items):
