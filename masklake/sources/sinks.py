@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,16 +34,116 @@ def write_provenance(spark: SparkSession, path: str, record: dict, preds: DataFr
     row.coalesce(1).write.mode("append").parquet(path)
 
 
+def _swap(spark: SparkSession, fresh: str, path: str) -> None:
+    """Puts a complete file in the place of another by one rename."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    source, target = hadoop.Path(fresh), hadoop.Path(path)
+    how = getattr(hadoop, "Options$Rename")
+    flags = spark.sparkContext._gateway.new_array(how, 1)
+    flags[0] = how.OVERWRITE
+    source = source.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(source)
+    hadoop.FileContext.getFileContext(source.toUri(), spark._jsc.hadoopConfiguration()).rename(
+        source, target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target), flags)
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
 def write_report(df: DataFrame, path: str) -> None:
-    """Replaces a report. The new one is written beside the old one, which goes only when the new one is complete."""
-    spark = df.sparkSession
-    fresh = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").json(fresh)
-    target, source = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, fresh))
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(target, True)
-    if not fs.rename(source, target):
-        raise OSError(f"{fresh} could not be renamed to {path}")
+    """Replaces a report: its rows become a new version's folder, then the file that names the version is swapped by one rename.
+
+    A failure at any step leaves the old version in place. The version before stays for readers that opened it; older ones go.
+    """
+    spark, root = df.sparkSession, path.rstrip("/")
+    version = f"v-{uuid.uuid4().hex}"
+    before = _current(spark, root)
+    df.write.mode("errorifexists").json(f"{root}/{version}")
+    fs, fresh = _file_system(spark, f"{root}/_{version}")
+    out = fs.create(fresh, False)
+    out.write(bytearray(version.encode()))
+    out.close()
+    _swap(spark, f"{root}/_{version}", f"{root}/_current")
+    for status in fs.listStatus(_file_system(spark, root)[1]):
+        name = status.getPath().getName()
+        if name.startswith("v-") and name not in (version, before):
+            fs.delete(status.getPath(), True)
+
+
+def _current(spark: SparkSession, root: str) -> str | None:
+    """Name of a report's present version."""
+    if not path_exists(spark, f"{root}/_current"):
+        return None
+    # read through the file system: Spark does not list names with an underscore
+    fs, pointer = _file_system(spark, f"{root}/_current")
+    stream = fs.open(pointer)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def read_report(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """The present version of a report that `write_report` wrote."""
+    root = path.rstrip("/")
+    version = _current(spark, root)
+    if version is None:
+        raise ContractError(f"{path} holds no report")
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.json(f"{root}/{version}")
+
+
+def document_rows(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables of `export_tables` with the names and shapes of a COCO document."""
+    images = tables["images"].withColumnsRenamed({"image_id": "id", "split": "source_split"})
+    a = tables["annotations"]
+    box = F.array(*[F.col(c).cast("double") for c in ("x", "y", "w", "h")])
+    annotations = a.select("id", "image_id", "category_id", "original_category_id", box.alias("bbox"), F.col("polygons").alias("segmentation"),
+                           F.col("area").cast("double").alias("area"), "iscrowd")
+    return {"images": images, "annotations": annotations, "categories": tables["categories"].select("id", "name")}
+
+
+def write_coco_document(rows: dict[str, DataFrame], path: str, info: dict | None = None, outcomes: DataFrame | None = None) -> None:
+    """One COCO document of `images`, `annotations` and `categories`, each in the order of `id`.
+
+    Every section is sorted by ranges and written as parts by all tasks; the parts are then put together byte by byte through a buffer of
+    64 KB. `info` holds what the caller gives and the columns of `outcomes`, a report of one row. The document appears under its name only
+    when it is complete.
+    """
+    spark = rows["images"].sparkSession
+    facts = dict(info or {}) | (outcomes.first().asDict() if outcomes is not None else {})
+    build = f"{path}.{uuid.uuid4().hex}"
+    sections = ("images", "annotations", "categories")
+    for name in sections:
+        # each line begins with the comma that parts it from the one before; the section's first is skipped below
+        line = F.concat(F.lit(","), F.to_json(F.struct(*rows[name].columns)))
+        placed = rows[name].repartitionByRange("id").sortWithinPartitions("id")
+        placed.select(line.alias("value")).write.mode("errorifexists").text(f"{build}/{name}")
+    fs, whole = _file_system(spark, f"{build}/document")
+    out = fs.create(whole, False)
+    say = lambda text: out.write(bytearray(text.encode()))
+    try:
+        say('{"info":' + json.dumps(facts, default=str))
+        for name in sections:
+            say(f',"{name}":[')
+            parts = sorted((s.getPath().getName(), s.getLen()) for s in fs.listStatus(_file_system(spark, f"{build}/{name}")[1]))
+            first = True
+            for part, length in parts:
+                if not part.startswith("part-") or not length:
+                    continue
+                stream = fs.open(_file_system(spark, f"{build}/{name}/{part}")[1])
+                if first:
+                    stream.read()
+                    first = False
+                spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 16, False)
+                stream.close()
+            say("]")
+        say("}")
+    finally:
+        out.close()
+    _swap(spark, f"{build}/document", path)
+    fs.delete(_file_system(spark, build)[1], True)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

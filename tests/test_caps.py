@@ -10,7 +10,7 @@ from masklake.operators.masks import box_slabs
 from masklake.operators.parsing import parse_payload
 from masklake.plans import evaluate
 from masklake.sources import coco
-from masklake.sources.sinks import write_report
+from masklake.sources.sinks import read_report, write_report
 
 
 def nested(levels, escape=False):
@@ -101,9 +101,9 @@ def test_a_failed_report_leaves_the_old_one(spark, tmp_path):
         write_report(bad, path)
     except Exception as error:
         assert "no" in str(error)
-    assert sorted(r.n for r in spark.read.json(path).collect()) == [0, 1, 2]
+    assert sorted(r.n for r in read_report(spark, path).collect()) == [0, 1, 2]
     write_report(spark.range(1).toDF("n"), path)
-    assert spark.read.json(path).count() == 1
+    assert read_report(spark, path).count() == 1
 
 
 def test_class_split_refusals(spark):
