@@ -2,18 +2,24 @@
 
 Both selections are defined by one sequential pass over pairs in a total order. Groups with a
 bounded number of pairs take that pass literally, as an array fold inside one task. Larger groups
-go through rounds that settle every locally first pair at once, which provably gives the same
-answer, until what is left of them fits the fold.
+go through rounds, which provably give the same answer, until what is left of them fits the fold.
+A round of matching settles every locally first pair. A round of suppression cuts the order into
+blocks and passes over each of them at once, so its rounds follow the blocks, not the longest chain.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from masklake.session import materialize
+from masklake.operators import prefix
+from masklake.session import discard, materialize
 
 FOLD_LIMIT = 4096
+#: Nodes and conflicts of a block; the task that passes over a block holds at most six times as many rows.
+BLOCK = 65_536
 
 
 def _sorted_pairs(edges: DataFrame, group: list[str], order: list[Column], cols: list[str]) -> DataFrame:
@@ -39,13 +45,60 @@ def fold_drop(edges: DataFrame, group: list[str], order: list[Column]) -> DataFr
     return folded.select(*group, F.explode("gone").alias("lo"))
 
 
-def greedy_drop(edges: DataFrame, group: list[str], order: list[Column], limit: int = FOLD_LIMIT) -> DataFrame:
+def _pass_block(rows: pd.DataFrame, group: list[str], order: list[str]) -> pd.DataFrame:
+    """Nodes of one block that surely survive: a sequential pass in which a node's fate may stay open.
+
+    A row without `lo` is a node, one without `hi` says that a node of an earlier block beats `lo`, the others are conflicts
+    inside the block. A node goes when a survivor beats it, else it stays open while anything open or earlier beats it.
+    """
+    nodes = rows[rows["lo"].isna()].sort_values(order)
+    place = pd.Index(nodes["hi"].astype("int64"))
+    beaten = place.get_indexer(rows.loc[rows["hi"].isna(), "lo"].astype("int64"))
+    met = rows[rows["hi"].notna() & rows["lo"].notna()]
+    pairs = sorted(zip(place.get_indexer(met["hi"].astype("int64")).tolist(), place.get_indexer(met["lo"].astype("int64")).tolist()))
+    alive, is_open, gone = 0, 1, 2
+    state = bytearray(len(nodes))
+    for k in beaten.tolist():
+        state[k] = is_open
+    for better, worse in pairs:
+        if state[better] == alive:
+            state[worse] = gone
+        elif state[better] == is_open and state[worse] == alive:
+            state[worse] = is_open
+    return nodes.loc[[s == alive for s in state], [*group, "hi"]]
+
+
+def _block_survivors(todo: DataFrame, group: list[str], order: list[Column], block: int) -> DataFrame:
+    """Nodes `(group, hi)` that survive for certain: all of each group's first block, and those settled within later ones.
+
+    Only nodes that beat another one are in blocks. A node weighs one and the conflicts it may lose, up to `block`, and blocks
+    are cut at multiples of `block` of the running weight, which bounds a block's nodes and the conflicts inside it.
+    """
+    keys = [f"o{i}" for i in range(len(order))]
+    heads = todo.groupBy(*group, "hi").agg(*[F.min(c).alias(k) for k, c in zip(keys, order)])
+    losses = todo.groupBy(*group, F.col("lo").alias("hi")).agg(F.count(F.lit(1)).alias("_losses"))
+    weight = F.least(F.coalesce("_losses", F.lit(0)), F.lit(block)) + 1
+    summed = prefix.running_sums(heads.join(losses, [*group, "hi"], "left"), group, [F.col(k) for k in keys], {"_weight": weight})
+    placed = materialize(summed.select(*group, "hi", *keys, F.floor(F.col("_weight") / block).alias("_block")), "blocks")
+    met = (todo.select(*group, "hi", "lo")
+           .join(placed.select(*group, "hi", F.col("_block").alias("_from")), [*group, "hi"])
+           .join(placed.select(*group, F.col("hi").alias("lo"), "_block"), [*group, "lo"]))
+    # All conflicts from earlier blocks say the same of a node: one row is left of them before the shuffle.
+    inside = met.select(*group, "_block", F.when(F.col("_from") == F.col("_block"), F.col("hi")).alias("hi"), "lo").distinct()
+    rows = placed.withColumn("lo", F.lit(None).cast("bigint")).unionByName(inside, allowMissingColumns=True)
+    schema = StructType([todo.schema[c] for c in (*group, "hi")])
+    return rows.groupBy(*group, "_block").applyInPandas(lambda pdf: _pass_block(pdf, group, keys), schema)
+
+
+def greedy_drop(edges: DataFrame, group: list[str], order: list[Column], limit: int = FOLD_LIMIT, block: int = BLOCK) -> DataFrame:
     """Nodes removed by greedy suppression: `(group, lo)`.
 
     `edges(group, hi, lo, ...)` are conflicts directed from the better to the worse node, and `order`
-    sorts them by the better node. In each round the nodes nobody beats survive, and all they beat go.
+    sorts them by the better node. In each round the order is cut into blocks, each block is passed over for itself, and all that
+    its certain survivors beat go, in whichever block. A group's first open block is always settled, so `n` conflicts
+    among nodes that beat others take at most about `2 n / block` rounds, however long their chains are; what blocks settle among
+    themselves makes it fewer.
     """
-    cols = [*group, "hi", "lo"]
     todo = materialize(edges, "conflicts")
     removed: list[DataFrame] = []
     while True:
@@ -53,9 +106,9 @@ def greedy_drop(edges: DataFrame, group: list[str], order: list[Column], limit:
         removed.append(fold_drop(small, group, order))
         if todo is None:
             break
-        beaten = todo.select(*group, F.col("lo").alias("hi")).distinct()
-        gone = materialize(todo.join(beaten, [*group, "hi"], "left_anti").select(*group, "lo").distinct(),
-                           "suppressed")
+        settled = materialize(_block_survivors(todo, group, order, block), "survivors")
+        gone = materialize(todo.join(settled, [*group, "hi"], "left_semi").select(*group, "lo").distinct(), "suppressed")
+        discard(settled)
         removed.append(gone)
         rest = (todo.join(gone, [*group, "lo"], "left_anti")
                 .join(gone.withColumnRenamed("lo", "hi"), [*group, "hi"], "left_anti"))

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from masklake.operators import greedy, matching, suppression
@@ -43,6 +44,26 @@ def test_suppression_fold_and_rounds(spark):
     assert slabs == want
 
 
+@pytest.mark.parametrize("block", [1, 64])
+def test_suppression_in_ordered_blocks(spark, block):
+    rows = boxes(150, 5, images=2) + [(1, 900 + i, 0.5, 3, 20 + i, 3, 20) for i in range(30)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.pred_id for r in suppression.suppress(df, 0.3, cell=16, limit=60, block=block).collect()}
+    assert got == sequential_nms(rows, 0.3)
+
+
+def test_long_chain_takes_few_rounds(spark, monkeypatch):
+    n, rounds = 50_000, []
+    survivors = greedy._block_survivors
+    monkeypatch.setattr(greedy, "_block_survivors", lambda *a: rounds.append(1) or survivors(*a))
+    at = F.col("id") * 10
+    df = spark.range(n).select(F.lit(0).cast("long").alias("image_id"), F.col("id").alias("pred_id"), (-at).cast("double").alias("score"),
+                               at.alias("c0"), (at + 16).alias("c1"), F.lit(0).cast("long").alias("r0"), F.lit(8).cast("long").alias("r1"))
+    got = suppression.suppress(df, 0.2, block=20_000)
+    assert got.agg(F.count(F.lit(1)), F.max(F.col("pred_id") % 2)).first()[:] == (n // 2, 0)
+    assert len(rounds) <= 2 * n // 20_000 + 1
+
+
 def test_suppression_is_idempotent_and_capped(spark):
     df = spark.createDataFrame(boxes(120, 2), SCHEMA)
     once = suppression.suppress(df, 0.4)
