@@ -8,6 +8,9 @@ A huge slab would cover too many cells, so there are grid levels, each eight tim
 lives on the finest level where it spans at most nine cells a side. Across levels the finer slab
 also shows up on the coarser grids, under a role that only meets slabs living there; two small
 slabs therefore never meet on a coarse grid.
+
+Where very many slabs share a cell, it can be cut into 4, 16, ... 256 parts. A histogram of the cells, counted before
+the join, tells for every depth how many rows the cut makes and how many candidate pairs it leaves.
 """
 
 from __future__ import annotations
@@ -17,9 +20,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from masklake.session import materialize
+
 COARSER = 8
 LEVELS = 3
 HOME, LEFT_HOME, RIGHT_HOME = 0, 1, 2
+GRID = ["_lv", "_role", "_gx", "_gy"]
+#: Halvings of a cell's sides at most.
+DEEPEST = 4
+#: Candidate pairs in a cell from which on it may be cut.
+HOT = 20_000_000
 
 
 def levels_for(extent: int | None, cell: int) -> int:
@@ -59,24 +69,65 @@ def _in_cells(df: DataFrame, cell: int, levels: int, left: bool) -> DataFrame:
             .withColumn("_gy", F.explode(cells("r0", "r1"))))
 
 
+def _parts(lo: str, hi: str, at: str, depth: Column) -> tuple[Column, Column]:
+    """First and last part of the side of cell `at`, halved `depth` times, that a slab covers; parts count from the origin."""
+    pieces = F.pow(F.lit(2), depth)
+    part = F.col("_size") / pieces
+    first = F.greatest(F.floor(F.col(lo) / part), (F.col(at) * pieces).cast("bigint"))
+    last = F.least(F.ceil(F.col(hi) / part) - 1, ((F.col(at) + 1) * pieces).cast("bigint") - 1)
+    return first, F.greatest(first, last)
+
+
+def hot_cells(left: DataFrame, right: DataFrame, on: list[str], limit: int) -> DataFrame:
+    """Cells `(on, grid)` with over `limit` candidate pairs that get cheaper when cut, with the best depth as `_depth`.
+
+    The inputs are slabs in cells. Cut to depth k, a cell makes `l` and `r` rows in 4 ** k parts, so about `l * r / 4 ** k` pairs;
+    large slabs, which lie in many parts, speak against a cut, small ones for it. One row for each cell leaves the counting tasks.
+    """
+    def counted(cut: DataFrame, prefix: str) -> DataFrame:
+        rows = []
+        for depth in range(DEEPEST + 1):
+            (c0, c1), (r0, r1) = (_parts(*side, F.lit(depth)) for side in (("c0", "c1", "_gx"), ("r0", "r1", "_gy")))
+            rows.append(F.sum(((c1 - c0 + 1) * (r1 - r0 + 1)).cast("double")).alias(f"{prefix}{depth}"))
+        return cut.groupBy(*on, *GRID).agg(*rows)
+
+    both = counted(left, "l").join(counted(right, "r"), [*on, *GRID]).where(F.col("l0") * F.col("r0") > limit)
+    costs = F.array(*[F.struct((F.col(f"l{k}") * F.col(f"r{k}") / 4 ** k).alias("cost"), F.lit(k).alias("depth")) for k in range(DEEPEST + 1)])
+    return both.select(*on, *GRID, F.array_min(costs)["depth"].alias("_depth")).where("_depth > 0")
+
+
+def _cut_hot(cut: DataFrame, hot: DataFrame, on: list[str]) -> DataFrame:
+    """Slabs in cells, those in hot cells once for every part they cover; `_gx, _gy` then name the part and `_size` its side."""
+    known = cut.join(hot, [*on, *GRID], "left").withColumn("_depth", F.coalesce("_depth", F.lit(0)))
+    (c0, c1), (r0, r1) = (_parts(*side, F.col("_depth")) for side in (("c0", "c1", "_gx"), ("r0", "r1", "_gy")))
+    return (known.withColumns({"_px": F.sequence(c0, c1), "_py": F.sequence(r0, r1)})
+            .withColumn("_gx", F.explode("_px")).withColumn("_gy", F.explode("_py"))
+            .withColumn("_size", F.col("_size") / F.pow(F.lit(2), F.col("_depth"))).drop("_px", "_py"))
+
+
 def overlap_join(left: DataFrame, right: DataFrame, on: list[str], cell: int = 128,
                  extent: int | None = None,
-                 where: Callable[[], Column] | None = None) -> DataFrame:
+                 where: Callable[[], Column] | None = None, hot: int | None = None) -> DataFrame:
     """All overlapping slab pairs: `on`, the other columns prefixed `l_` / `r_`, and `overlap`.
 
     `extent` is a bound on the slab sides known from the image table; it removes grid levels that
-    cannot be used. `where` is an extra join predicate on the prefixed columns.
+    cannot be used. `where` is an extra join predicate on the prefixed columns. With `hot`, cells are counted first
+    and those with more candidate pairs are cut into parts; the rows are the same.
     """
     levels = levels_for(extent, cell)
-    grid = ["_lv", "_role", "_gx", "_gy"]
-
-    def prefixed(df: DataFrame, prefix: str, is_left: bool) -> DataFrame:
-        cut = _in_cells(df, cell, levels, is_left)
+    cuts = [_in_cells(left, cell, levels, True), _in_cells(right, cell, levels, False)]
+    grid = GRID
+    if hot is not None:
+        found = materialize(hot_cells(*cuts, on, hot), "hot-cells")
+        if not found.isEmpty():
+            cuts, grid = [_cut_hot(cut, found, on) for cut in cuts], [*GRID, "_depth"]
+
+    def prefixed(df: DataFrame, cut: DataFrame, prefix: str, is_left: bool) -> DataFrame:
         keep = [c for c in df.columns if c not in on]
         size = [F.col("_size")] if is_left else []
         return cut.select(*on, *grid, *size, *[F.col(c).alias(prefix + c) for c in keep])
 
-    lc, rc = prefixed(left, "l_", True), prefixed(right, "r_", False)
+    lc, rc = prefixed(left, cuts[0], "l_", True), prefixed(right, cuts[1], "r_", False)
     corner_c, corner_r = F.greatest("l_c0", "r_c0"), F.greatest("l_r0", "r_r0")
     end_c, end_r = F.least("l_c1", "r_c1"), F.least("l_r1", "r_r1")
     touching = (corner_c < end_c) & (corner_r < end_r)
@@ -92,13 +143,13 @@ def overlap_join(left: DataFrame, right: DataFrame, on: list[str], cell: int = 1
 def intersections(left: DataFrame, right: DataFrame, on: list[str], left_id: str, right_id: str,
                   keep_left: list[str] = (), keep_right: list[str] = (), cell: int = 128,
                   extent: int | None = None, where: Callable[[], Column] | None = None,
-                  signed: bool = False) -> DataFrame:
+                  signed: bool = False, hot: int | None = None) -> DataFrame:
     """Pixels shared by mask pairs: slab overlaps summed per pair of masks.
 
     With `signed` both inputs are band slabs carrying `wt`; `band` is then the pixel count of the
     band intersection next to `inter`, the one of the whole masks.
     """
-    pairs = overlap_join(left, right, on, cell, extent, where)
+    pairs = overlap_join(left, right, on, cell, extent, where, hot)
     if signed:
         whole = (F.col("l_wt") == 1) & (F.col("r_wt") == 1)
         sums = [F.sum(F.when(whole, F.col("overlap")).otherwise(0)).alias("inter"),
