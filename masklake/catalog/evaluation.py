@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 from masklake.catalog import inputs
 from masklake.catalog.fixtures import CANVAS, oracle, spark_view
 from masklake.functions.geometry import image_band
-from masklake.operators import boundary, matching, pairs, precision, ranking, recall, suppression
+from masklake.operators import boundary, matching, pairs, precision, prefix, ranking, recall, suppression
 from masklake.operators.matching import GROUP, IOU_THRESHOLDS
 from masklake.plans import evaluate
 
@@ -209,6 +209,27 @@ def nms_capped(spark, sf):
     return _kept(suppression.suppress(_boxes(spark, sf), 0.5, extent=CANVAS, maxdets=10))
 
 
+def nms_chains(spark, sf):
+    """Three images whose annotations form chains of thousands of boxes, each overlapping only the next."""
+    g = spark_view(spark, sf, "fx_gt").select(F.col("ann_id").alias("pred_id"), F.pmod("image_id", F.lit(3)).alias("image_id"))
+    step = F.when(F.pmod("pred_id", F.lit(4999)) == 0, 20).otherwise(10).cast("bigint")
+    at = F.col("c0")
+    p = prefix.running_sums(g, ["image_id"], [F.col("pred_id")], {"c0": step}).select(
+        "image_id", "pred_id", (-at).cast("double").alias("score"), "c0", (at + 16).alias("c1"),
+        F.lit(0).cast("bigint").alias("r0"), F.lit(8).cast("bigint").alias("r1"))
+    return _kept(suppression.suppress(p, 0.2, extent=16))
+
+
+def hot_cell(spark, sf):
+    """All parts as small boxes in a single grid cell: how many others each one overlaps, and by how many pixels."""
+    key = F.col("p_partkey")
+    c0, r0 = F.pmod(key * 7919, F.lit(125)), F.pmod(F.floor(key * 104729 / 1000), F.lit(121))
+    p = spark_view(spark, sf, "part").select(F.lit(0).alias("image_id"), key.alias("part_id"), c0.alias("c0"), (c0 + 3).alias("c1"),
+                                             r0.alias("r0"), (r0 + 2 + F.pmod(key, F.lit(5))).alias("r1"))
+    met = pairs.overlap_join(p, p, ["image_id"], extent=CANVAS, where=lambda: F.col("l_part_id") != F.col("r_part_id"), hot=100_000)
+    return met.groupBy(F.col("l_part_id").alias("part_id")).agg(F.count(F.lit(1)).alias("others"), F.sum("overlap").alias("pixels"))
+
+
 def nms_strict(spark, sf):
     return _kept(suppression.suppress(_boxes(spark, sf), 0.5, extent=CANVAS, strict=True, later_first=True))
 
@@ -567,6 +588,18 @@ CASES = {
     "nms1_mask_greedy": (nms_mask, nms_oracle(0.3, ">=", "", 512)),
     "nms2_box_greedy": (nms_box, nms_oracle(0.3, ">=", "")),
     "nms1_early_stop": (nms_capped, nms_oracle(0.5, ">=", "", 10)),
+    "nms2_long_chains": (nms_chains, oracle("""WITH placed AS (SELECT ann_id AS pred_id, image_id % 3 AS image_id,
+          CASE WHEN ann_id % 4999 = 0 THEN 1 ELSE 0 END AS gap FROM fx_gt),
+        runs AS (SELECT *, sum(gap) OVER w AS run, -sum(10 + 10 * gap) OVER w AS score FROM placed
+                 WINDOW w AS (PARTITION BY image_id ORDER BY pred_id)),
+        r AS (SELECT *, row_number() OVER (PARTITION BY image_id, run ORDER BY pred_id) AS pos FROM runs)
+        SELECT image_id, pred_id, CAST(score AS DOUBLE) AS score FROM r WHERE pos % 2 = 1""", "fx_gt")),
+    "join3_hot_cell": (hot_cell, oracle("""WITH b AS (SELECT p_partkey AS id, (p_partkey * 7919) % 125 AS x, ((p_partkey * 104729) // 1000) % 121 AS y,
+          3 AS w, 2 + p_partkey % 5 AS h FROM part),
+        met AS (SELECT a.id, (least(a.x, b.x) + 3 - greatest(a.x, b.x)) * (least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS px
+                FROM (SELECT *, unnest(range(x - 2, x + 3)) AS at FROM b) a JOIN b ON b.x = a.at AND b.id <> a.id
+                WHERE least(a.y + a.h, b.y + b.h) > greatest(a.y, b.y))
+        SELECT id AS part_id, count(*) AS others, CAST(sum(px) AS BIGINT) AS pixels FROM met GROUP BY id""")),
     "nms3_strict": (nms_strict, nms_oracle(0.5, ">", "DESC")),
     "msk8_mask_iou_pairs": (mask_iou_pairs, oracle(
         f"WITH {PLAIN_MET} SELECT image_id, pred_id, gt_id, n AS inter, round({MASK_IOU}, 9) AS iou FROM met", "fx_pred", "fx_gt")),
