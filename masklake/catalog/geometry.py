@@ -8,7 +8,7 @@ from masklake.catalog import inputs
 from masklake.catalog.evaluation import OVERLAP, TOUCH, PLAIN_MET
 from masklake.catalog.fixtures import CANVAS, oracle, spark_view
 from masklake.functions import rle
-from masklake.operators import augment, masks, pairs, stats, tiling, views
+from masklake.operators import augment, digests, masks, pairs, stats, tiling, views
 
 big = lambda c: F.col(c).cast("bigint").alias(c)
 
@@ -119,6 +119,42 @@ def protocol(spark, sf):
     return check(images, gt).withColumn("tables", F.lit("sound")).unionByName(check(*_damaged(spark, sf)).withColumn("tables", F.lit("damaged")))
 
 
+def tree_sql(source: str, key: str, row: str, by: str, buckets: int) -> str:
+    """Digest tree of `source` as two tables, `h` and `tree`; `row` is the row's JSON text."""
+    words = ", ".join(f"sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT)) AS w{i}" for i in range(8))
+    return f"""h AS (SELECT {by}, CAST('0x' || substr(sha256(CAST({key} AS VARCHAR)), 1, 8) AS BIGINT) % {buckets} AS bucket, sha256({row}) AS h FROM {source}),
+        tree AS (SELECT {by}, bucket, n AS rows, sha256(concat_ws('|', n, w0, w1, w2, w3, w4, w5, w6, w7)) AS digest
+                 FROM (SELECT {by}, bucket, count(*) AS n, {words} FROM h GROUP BY ALL) q)"""
+
+
+def drift(spark, sf):
+    """The annotations against a version in which some are changed, some gone and some repeated."""
+    old = spark_view(spark, sf, "fx_gt").select("ann_id", "image_id", "x", "y", "w", "h")
+    pick = lambda n, k: F.pmod("ann_id", F.lit(n)) == k
+    new = old.where(~pick(997, 1)).withColumn("w", F.when(pick(997, 0), F.col("w") + 1).otherwise(F.col("w")))
+    new = new.unionByName(old.where(pick(997, 2))).unionByName(old.where(pick(997, 3)).withColumn("ann_id", -F.col("ann_id")))
+    return digests.drifted_rows(old, new, ["ann_id"])
+
+
+def digest_tree(spark, sf):
+    gt = _split_gt(spark, sf).select("ann_id", "image_id", "split", "w")
+    return digests.bucket_digests(gt, ["ann_id"], ["split"], 64)
+
+
+def protocol_record(spark, sf):
+    return views.protocol_record(spark_view(spark, sf, "fx_images"), spark_view(spark, sf, "fx_gt").where("image_id % 7 <> 0"))
+
+
+def signed_rules(spark, sf):
+    """Rules on a signed manifest, once as it is and once for another arm and path and without a test split."""
+    images, gt = _split_images(spark, sf), _split_gt(spark, sf)
+    trees = views.view_trees(images, gt, views.restore_categories(gt))
+    signed = views.signed_manifest(images, gt, trees, "prompt-view", "annotations", "view")
+    sound = views.signed_checks(signed, "prompt-view", "annotations", "view").withColumn("manifest", F.lit("sound"))
+    other = views.signed_checks(signed.where("split = 'train'"), "another", "annotations", "elsewhere").withColumn("manifest", F.lit("damaged"))
+    return sound.unionByName(other)
+
+
 def export_rules(spark, sf):
     images = _split_images(spark, sf)
     return views.export_checks(images, spark_view(spark, sf, "fx_gt"), images.where("image_id % 50 <> 0").select("file_name"), 0, 40)
@@ -360,6 +396,26 @@ CASES = {
             f"sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT)) AS w{i}" for i in range(8)) + """ FROM h GROUP BY 1, 2),
         d AS (SELECT variant, n, sha256(concat_ws('|', bucket, n, w0, w1, w2, w3, w4, w5, w6, w7)) AS d FROM b)
         SELECT variant, CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(d, '' ORDER BY d)) AS digest FROM d GROUP BY 1""", "fx_gt")),
+    "man1_drifted_rows": (drift, oracle("""SELECT ann_id, rows_before, rows_after, change FROM (
+          SELECT ann_id, 1 AS rows_before, 1 AS rows_after, 'changed' AS change FROM fx_gt WHERE ann_id % 997 = 0
+          UNION ALL SELECT ann_id, 1, 0, 'removed' FROM fx_gt WHERE ann_id % 997 = 1
+          UNION ALL SELECT ann_id, 1, 2, 'changed' FROM fx_gt WHERE ann_id % 997 = 2
+          UNION ALL SELECT -ann_id, 0, 1, 'added' FROM fx_gt WHERE ann_id % 997 = 3) q""", "fx_gt")),
+    "man3_digest_tree": (digest_tree, oracle(f"""WITH g AS (SELECT *, {SPLIT} AS split FROM fx_gt), """ + tree_sql(
+        "g", "ann_id", """'{"ann_id":' || ann_id || ',"image_id":' || image_id || ',"split":"' || split || '","w":' || w || '}'""", "split", 64)
+        + " SELECT split, bucket, rows, digest FROM tree", "fx_gt")),
+    "man4_signed_manifest": (signed_rules, oracle("""SELECT split, "check", ok, manifest FROM (
+          SELECT s.split, v.n AS "check", true AS ok, 'sound' AS manifest FROM (VALUES ('train'), ('test')) s(split) CROSS JOIN (VALUES ('version'), ('arm'),
+            ('category list'), ('source path'), ('view path'), ('source digest is SHA-256'), ('view digest is SHA-256')) v(n)
+          UNION ALL SELECT 'train', v.n, v.n NOT IN ('arm', 'view path'), 'damaged' FROM (VALUES ('version'), ('arm'),
+            ('category list'), ('source path'), ('view path'), ('source digest is SHA-256'), ('view digest is SHA-256')) v(n)
+          UNION ALL SELECT NULL, 'splits are train and test', count(DISTINCT CASE WHEN image_id % 4 = 0 THEN 'test' ELSE 'train' END) = 2, 'sound' FROM fx_images
+          UNION ALL SELECT NULL, 'splits are train and test', false, 'damaged') q""", "fx_images")),
+    "man6_protocol_record": (protocol_record, oracle("""WITH g AS (SELECT * FROM fx_gt WHERE image_id % 7 <> 0), """ + tree_sql(
+        "fx_images", "image_id", """'{"image_id":' || image_id || '}'""", "1 AS k", 4096).replace("SELECT 1 AS k, bucket", "SELECT bucket")
+        + """ SELECT CAST(sum(rows) AS BIGINT) AS images, (SELECT count(*) FROM g) AS annotations,
+          (SELECT count(*) FROM fx_images ANTI JOIN g USING (image_id)) AS images_without_annotations,
+          sha256(string_agg(digest, '' ORDER BY bucket)) AS image_ids_sha256 FROM tree""", "fx_images", "fx_gt")),
     "man3_view_manifest": (manifest, oracle(f"""SELECT * FROM (SELECT {SPLIT} AS split, count(*) AS images FROM fx_images GROUP BY 1) i JOIN (
         SELECT {SPLIT} AS split, count(*) AS annotations, """ + ", ".join(
         [f"count(*) FILTER (WHERE original_category_id = {c}) AS category_{c}" for c in (1, 2)]

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from masklake.operators import masks, prefix
+from masklake.operators import digests, masks, prefix
 
 # The two prompt categories, in prompt order.
 CATEGORIES = [(1, "canopy"), (2, "tree")]
 LABELS = {"tree": 2, "canopy": 1}
+# Splits of a view manifest.
+SPLITS = ["test", "train"]
+MANIFEST_VERSION = 1
 
 
 class ContractError(ValueError):
@@ -183,6 +186,39 @@ def view_manifest(images: DataFrame, annotations: DataFrame) -> DataFrame:
     return n.join(a, "split", "left").na.fill(0)
 
 
+def view_trees(images: DataFrame, annotations: DataFrame, view: DataFrame) -> DataFrame:
+    """Digest trees of a view and what it comes from: `(part, split, bucket, rows, digest)`, part is images, annotations or view."""
+    tree = lambda df, key, part: digests.bucket_digests(df, [key], ["split"]).select(F.lit(part).alias("part"), "*")
+    return (tree(images, "image_id", "images").unionByName(tree(annotations, "ann_id", "annotations"))
+            .unionByName(tree(view, "ann_id", "view")))
+
+
+def signed_manifest(images: DataFrame, annotations: DataFrame, trees: DataFrame, arm: str, source: str, view: str) -> DataFrame:
+    """`view_manifest` with version, arm, category list, the relative paths, and digests of source and view, one row per split."""
+    roots = digests.root(trees, ["split", "part"])
+    of = lambda part: F.max(F.when(F.col("part") == part, F.col("digest")))
+    signs = roots.groupBy("split").agg(F.sha2(F.concat_ws("|", of("images"), of("annotations")), 256).alias("source_sha256"),
+                                       of("view").alias("view_sha256"))
+    known = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(n).alias("name")) for i, n in CATEGORIES])
+    return view_manifest(images, annotations).join(signs, "split", "left").select(
+        F.lit(MANIFEST_VERSION).alias("version"), F.lit(arm).alias("arm"), known.alias("categories"), "split",
+        F.lit(source).alias("source"), F.lit(view).alias("view"), "source_sha256", "view_sha256",
+        *[c for c in view_manifest(images, annotations).columns if c != "split"])
+
+
+def signed_checks(manifest: DataFrame, arm: str, source: str, view: str) -> DataFrame:
+    """What a signed manifest must say besides `manifest_checks`, as `(split, check, ok)`; the splits as a whole have split NULL."""
+    c, known = F.col, F.array(*[F.struct(F.lit(i).alias("id"), F.lit(n).alias("name")) for i, n in CATEGORIES])
+    sha = lambda name: c(name).rlike("^[0-9a-f]{64}$")
+    rules = {"version": c("version") == MANIFEST_VERSION, "arm": c("arm") == arm, "category list": c("categories") == known,
+             "source path": c("source") == source, "view path": c("view") == view,
+             "source digest is SHA-256": sha("source_sha256"), "view digest is SHA-256": sha("view_sha256")}
+    rows = manifest.select("split", F.inline(F.array(*[
+        F.struct(F.lit(k).alias("check"), F.coalesce(v, F.lit(False)).alias("ok")) for k, v in rules.items()])))
+    names = manifest.agg((F.array_sort(F.collect_list("split")) == F.array(*map(F.lit, SPLITS))).alias("ok"))
+    return rows.unionByName(names.select(F.lit(None).cast("string").alias("split"), F.lit("splits are train and test").alias("check"), "ok"))
+
+
 def manifest_checks(manifest: DataFrame, expected_images: dict[str, int] | None = None) -> DataFrame:
     """Rules a manifest row must satisfy, as `(split, check, ok)`."""
     c = F.col
@@ -219,6 +255,16 @@ def protocol_checks(images: DataFrame, annotations: DataFrame, *, n_images: int,
         "images without annotations": (F.lit(True), c("empty"))})
 
 
+def protocol_record(images: DataFrame, annotations: DataFrame) -> DataFrame:
+    """What an evaluation set is, as one row: `(images, annotations, images_without_annotations, image_ids_sha256)`."""
+    ids = digests.root(digests.bucket_digests(images.select("image_id"), ["image_id"])).select(
+        F.col("rows").alias("images"), F.col("digest").alias("image_ids_sha256"))
+    total = annotations.agg(F.count(F.lit(1)).alias("annotations"))
+    empty = images.join(annotations.select("image_id"), "image_id", "left_anti").agg(F.count(F.lit(1)).alias("images_without_annotations"))
+    return ids.join(total.hint("broadcast")).join(empty.hint("broadcast")).select(
+        "images", "annotations", "images_without_annotations", "image_ids_sha256")
+
+
 def export_checks(images: DataFrame, annotations: DataFrame, files: DataFrame, empty_reported: int,
                   limit: int = 1000) -> DataFrame:
     """Exported tables against the files on disk and the export report, as `(check, ok, detail)`."""
