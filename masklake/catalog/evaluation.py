@@ -20,15 +20,25 @@ OVERLAP = ("(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * (least(a.y + a.
 TOUCH = ("least(a.x + a.w, b.x + b.w) > greatest(a.x, b.x) AND least(a.y + a.h, b.y + b.h) > greatest(a.y, b.y)")
 
 
-def nms_oracle(threshold: float, compare: str, tie: str, maxdets: int = 0) -> str:
+BOX_MET = f"""SELECT a.image_id, a.rn AS hi, b.rn AS lo, {OVERLAP} AS inter, a.w * a.h + b.w * b.h AS s
+          FROM ranked a JOIN ranked b ON a.image_id = b.image_id AND a.rn < b.rn AND {TOUCH}"""
+# The pieces of a shape are disjoint, so pixels shared by two shapes are the sum over their pieces.
+SHAPE_SLABS = "(SELECT image_id, {key}, b[1] AS x, b[2] AS y, b[3] AS w, b[4] AS h, sum(b[3] * b[4]) OVER (PARTITION BY image_id, {key}) AS area FROM {rows} q)"
+PRED_SHAPES = SHAPE_SLABS.format(key="pred_id", rows=inputs.shapes_sql("fx_pred", "pred_id"))
+GT_SHAPES = SHAPE_SLABS.format(key="ann_id", rows=inputs.shapes_sql("fx_gt", "ann_id"))
+SHAPE_MET = f"""SELECT a.image_id, a.rn AS hi, b.rn AS lo, sum({OVERLAP}) AS inter, any_value(a.area + b.area) AS s
+          FROM shaped a JOIN shaped b ON a.image_id = b.image_id AND a.rn < b.rn AND {TOUCH} GROUP BY 1, 2, 3"""
+SHAPED = f"shaped AS MATERIALIZED (SELECT r.rn, s.* FROM ranked r JOIN {PRED_SHAPES} s ON r.image_id = s.image_id AND r.pred_id = s.pred_id),"
+
+
+def nms_oracle(threshold: float, compare: str, tie: str, maxdets: int = 0, met: str = BOX_MET, tables: str = "") -> str:
     cap = f"WHERE pos <= {maxdets}" if maxdets else ""
     return oracle(f"""
       WITH RECURSIVE ranked AS MATERIALIZED (
         SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, pred_id {tie}) AS rn FROM fx_pred),
+      {tables}
       conflicts AS MATERIALIZED (
-        SELECT image_id, lo, list(hi) AS his FROM (
-          SELECT a.image_id, a.rn AS hi, b.rn AS lo, {OVERLAP} AS inter, a.w * a.h + b.w * b.h AS s
-          FROM ranked a JOIN ranked b ON a.image_id = b.image_id AND a.rn < b.rn AND {TOUCH}) c
+        SELECT image_id, lo, list(hi) AS his FROM ({met}) c
         WHERE CAST(CAST(inter AS DOUBLE) / (s - inter) AS FLOAT) {compare} CAST({threshold} AS FLOAT)
         GROUP BY image_id, lo),
       steps AS (
@@ -209,6 +219,27 @@ def nms_capped(spark, sf):
     return _kept(suppression.suppress(_boxes(spark, sf), 0.5, extent=CANVAS, maxdets=10))
 
 
+def _shapes(slabs, key):
+    """L-shapes and rings with their own area on every piece."""
+    own = Window.partitionBy("image_id", key)
+    shaped = inputs.shaped_slabs(slabs, key)
+    pixels = F.sum((F.col("c1") - F.col("c0")) * (F.col("r1") - F.col("r0"))).over(own)
+    return shaped.withColumn("area" if key == "pred_id" else "area_mask", pixels)
+
+
+def nms_shapes(spark, sf):
+    """Mask suppression of L-shapes and rings."""
+    p = inputs.pred_slabs(spark, sf)
+    whole = p.select("image_id", "pred_id", "score", "c0", "c1", "r0", "r1", F.pmod("pred_id", F.lit(3)).alias("kind"))
+    return _kept(suppression.suppress(whole, 0.3, slabs=inputs.shaped_slabs(p, "pred_id"), geometry=["c0", "c1", "r0", "r1", "kind"], extent=CANVAS))
+
+
+def shape_iou_pairs(spark, sf):
+    """Pairs of L-shapes and rings with a mask IoU of one half or more."""
+    met = matching.mask_pairs(_shapes(inputs.pred_slabs(spark, sf), "pred_id"), _shapes(inputs.gt_slabs(spark, sf), "gt_id"), floor=0.5, extent=CANVAS)
+    return met.select("image_id", "pred_id", "gt_id", "inter", F.round("iou", 9).alias("iou"))
+
+
 def nms_chains(spark, sf):
     """Three images whose annotations form chains of thousands of boxes, each overlapping only the next."""
     g = spark_view(spark, sf, "fx_gt").select(F.col("ann_id").alias("pred_id"), F.pmod("image_id", F.lit(3)).alias("image_id"))
@@ -588,6 +619,12 @@ CASES = {
     "nms1_mask_greedy": (nms_mask, nms_oracle(0.3, ">=", "", 512)),
     "nms2_box_greedy": (nms_box, nms_oracle(0.3, ">=", "")),
     "nms1_early_stop": (nms_capped, nms_oracle(0.5, ">=", "", 10)),
+    "nms1_of_shapes": (nms_shapes, nms_oracle(0.3, ">=", "", met=SHAPE_MET, tables=SHAPED)),
+    "msk8_of_shapes": (shape_iou_pairs, oracle(f"""WITH p AS MATERIALIZED {PRED_SHAPES}, g AS MATERIALIZED {GT_SHAPES},
+        met AS (SELECT a.image_id, a.pred_id, b.ann_id AS gt_id, sum({OVERLAP}) AS n, any_value(a.area) AS pa, any_value(b.area) AS ga
+                FROM p a JOIN g b ON a.image_id = b.image_id AND {TOUCH} GROUP BY 1, 2, 3),
+        scored AS (SELECT met.image_id, pred_id, gt_id, CAST(n AS BIGINT) AS inter, {MASK_IOU.replace("crowd", "iscrowd")} AS iou FROM met JOIN fx_gt ON ann_id = gt_id)
+        SELECT image_id, pred_id, gt_id, inter, round(iou, 9) AS iou FROM scored WHERE iou >= 0.5""", "fx_pred", "fx_gt")),
     "nms2_long_chains": (nms_chains, oracle("""WITH placed AS (SELECT ann_id AS pred_id, image_id % 3 AS image_id,
           CASE WHEN ann_id % 4999 = 0 THEN 1 ELSE 0 END AS gap FROM fx_gt),
         runs AS (SELECT *, sum(gap) OVER w AS run, -sum(10 + 10 * gap) OVER w AS score FROM placed
