@@ -9,10 +9,12 @@ from pyspark.sql.window import Window
 
 from masklake.catalog import inputs
 from masklake.catalog.fixtures import CANVAS, oracle, spark_view
+from masklake.functions import rle
 from masklake.functions.geometry import image_band
-from masklake.operators import boundary, matching, pairs, precision, prefix, ranking, recall, suppression
+from masklake.operators import boundary, masks, matching, pairs, precision, prefix, ranking, recall, suppression
 from masklake.operators.matching import GROUP, IOU_THRESHOLDS
-from masklake.plans import evaluate
+from masklake.plans import evaluate, merge
+from masklake.session import materialize
 
 # ---------------------------------------------------------------- shared oracle texts
 
@@ -234,6 +236,29 @@ def nms_shapes(spark, sf):
     return _kept(suppression.suppress(whole, 0.3, slabs=inputs.shaped_slabs(p, "pred_id"), geometry=["c0", "c1", "r0", "r1", "kind"], extent=CANVAS))
 
 
+def _dumped(spark, sf):
+    """Raw instances as a dump holds them: boxes, and L-shapes and rings as run-length text."""
+    p = inputs.pred_slabs(spark, sf)
+    side = F.lit(CANVAS).cast("bigint")
+    runs = masks.slabs_to_runs(inputs.shaped_slabs(p, "pred_id").select("image_id", "pred_id", *masks.SLAB).withColumns({"width": side, "height": side}),
+                               ["image_id", "pred_id", "width", "height"], "height")
+    coded = runs.select("image_id", "pred_id", F.struct(rle.encode_counts(F.col("runs")).alias("counts"), F.array("height", "width").alias("size")).alias("segmentation"))
+    return materialize(_boxed(p).join(coded, ["image_id", "pred_id"]), "dump")
+
+
+def _boxed(p):
+    box = F.array("c0", "r0", F.col("c1") - F.col("c0"), F.col("r1") - F.col("r0"))
+    return p.select("image_id", "pred_id", "score", box.alias("bbox"))
+
+
+def merged_masks(spark, sf):
+    return _kept(merge.merge_raw_instances(_dumped(spark, sf), spark_view(spark, sf, "fx_images"), dedup_iou=0.3, maxdets=512, extent=CANVAS))
+
+
+def merged_boxes(spark, sf):
+    return _kept(merge.merge_raw_instances(_boxed(inputs.pred_slabs(spark, sf)), spark_view(spark, sf, "fx_images"), dedup_iou=0.5, maxdets=10, method="box-nms", extent=CANVAS))
+
+
 def shape_iou_pairs(spark, sf):
     """Pairs of L-shapes and rings with a mask IoU of one half or more."""
     met = matching.mask_pairs(_shapes(inputs.pred_slabs(spark, sf), "pred_id"), _shapes(inputs.gt_slabs(spark, sf), "gt_id"), floor=0.5, extent=CANVAS)
@@ -620,6 +645,8 @@ CASES = {
     "nms2_box_greedy": (nms_box, nms_oracle(0.3, ">=", "")),
     "nms1_early_stop": (nms_capped, nms_oracle(0.5, ">=", "", 10)),
     "nms1_of_shapes": (nms_shapes, nms_oracle(0.3, ">=", "", met=SHAPE_MET, tables=SHAPED)),
+    "nms4_merged_masks": (merged_masks, nms_oracle(0.3, ">=", "", 512, met=SHAPE_MET, tables=SHAPED)),
+    "nms4_merged_boxes": (merged_boxes, nms_oracle(0.5, ">=", "", 10)),
     "msk8_of_shapes": (shape_iou_pairs, oracle(f"""WITH p AS MATERIALIZED {PRED_SHAPES}, g AS MATERIALIZED {GT_SHAPES},
         met AS (SELECT a.image_id, a.pred_id, b.ann_id AS gt_id, sum({OVERLAP}) AS n, any_value(a.area) AS pa, any_value(b.area) AS ga
                 FROM p a JOIN g b ON a.image_id = b.image_id AND {TOUCH} GROUP BY 1, 2, 3),
